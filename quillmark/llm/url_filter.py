@@ -88,7 +88,7 @@ def path_of(url: Column) -> Column:
 def _after_scheme(url: Column) -> Column:
     """What follows the first ``://``; empty for null and for texts without it."""
     at = F.instr(url, "://")
-    return F.coalesce(F.when(at > 0, F.expr("substring(__url, instr(__url, '://') + 3)")), F.lit(""))
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
 def judge_urls(
@@ -105,8 +105,7 @@ def judge_urls(
     rules are joined by host suffix and whole leading segments. A null URL, or one without
     ``://``, has an empty host and path and so no rule. Repeated rules count once.
     """
-    parts = df.withColumn("__url", F.col(url))
-    parts = parts.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))}).drop("__url")
+    parts = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if isinstance(rules, DataFrame):
         rules = rules.select("host", "path", "verdict").dropna().distinct()
         size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
