@@ -21,3 +21,46 @@ best AS (
   GROUP BY s.n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM split LEFT JOIN best USING (n)
 """
+
+_ASSIGN = (
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
+    r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+_KINDS = [(0, _ASSIGN, 2, 6), (1, "AKIA[A-Z0-9]+", 0, 20), (2, "[0-9a-f]+", 0, 24), (3, "[A-Za-z0-9+/_-]+", 0, 20)]
+_FOUND = "\n  UNION ALL ".join(
+    f"SELECT n, {rank} AS rank, {group} AS grp, {least} AS least, '{pattern}' AS pattern,"
+    f" regexp_extract_all(t, '{pattern}', 0) AS ms, string_split_regex(t, '{pattern}') AS gs FROM d"
+    for rank, pattern, group, least in _KINDS
+)
+ORACLES["op7_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+u AS (
+  SELECT n, rank, grp, least, pattern, ms[i] AS m,
+         coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0)
+           + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS s
+  FROM f, unnest(range(1, len(ms) + 1)) AS x(i)),
+c AS (
+  SELECT n, rank, s, s + length(m) AS e,
+         CASE WHEN grp = 2 THEN regexp_extract(m, '{_ASSIGN}', 2) ELSE m END AS v, least
+  FROM u),
+p AS (
+  SELECT n, rank, s, e, v FROM c
+  WHERE length(v) >= least AND (rank < 3 OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')))),
+q AS (
+  SELECT * FROM p WHERE rank < 3 OR NOT EXISTS (
+    SELECT 1 FROM p b WHERE b.n = p.n AND b.rank < 3 AND b.s < p.e AND p.s < b.e)),
+h AS (SELECT v, count(DISTINCT coalesce('x' || source, '')) AS owners FROM q JOIN d USING (n) GROUP BY v),
+a AS (
+  SELECT q.*, owners <= 2 AS live, ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS span
+  FROM q JOIN h USING (v) WHERE rank < 3 OR owners <= 2),
+g AS (
+  SELECT n, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+         count(*) FILTER (rank = 3) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+         string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM a GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import simhash, url_filter
+from quillmark.llm import secrets, simhash, url_filter
 from quillmark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,4 +35,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_url_filter)}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    spans = F.col("spans")
+    names = tuple(k.name for k in (*secrets.BASE_KINDS, secrets.OWNED))
+    base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE_KINDS))
+
+    def count(test):
+        return F.size(F.filter(spans, test)).cast("long")
+
+    def of_rank(rank):
+        return lambda s: s["rank"] == rank
+
+    return secrets.scan(docs, ["doc_id"]).select(
+        "doc_id",
+        *[count(of_rank(r)).alias(f"n_{name}") for r, name in enumerate(names)],
+        count(lambda s: s["live"]).alias("n_live"),
+        count(lambda s: ~s["live"]).alias("n_example"),
+        F.sha2(secrets.span_list(base, names), 256).alias("base_sha256"),
+        secrets.span_list(spans, names).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op5_simhash, op6_url_filter, op7_secrets)}
