@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import secrets, simhash, url_filter
+from quillmark.llm import langid, secrets, simhash, toxicity, url_filter
 from quillmark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -24,6 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", toxicity.predict(docs, model).alias("p"))
+    return found.select("doc_id", "p.severity", "p.p_toxic", "p.grade", (F.col("p.p_toxic") >= 0.5).alias("toxic"))
+
+
+def held_out() -> Column:
+    """Documents whose language labels no query may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = language_model(spark, sf_dir)
+    found = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), langid.predict(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.accepted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash.simhash_groups(docs)
@@ -57,4 +81,4 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op6_url_filter, op7_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op5_simhash, op6_url_filter, op7_secrets)}
