@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import langid, secrets, simhash, toxicity, url_filter
+from quillmark.llm import bpe, langid, packing, secrets, simhash, toxicity, url_filter
 from quillmark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,4 +82,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op5_simhash, op6_url_filter, op7_secrets)}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", bpe.digests(public_tokenizers.path("byte_bpe_50k.json")).alias("d")).select("doc_id", "d.*")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op5_simhash, op6_url_filter, op7_secrets, op8_bpe, op9_packing)}
