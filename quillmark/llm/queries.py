@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, langid, packing, secrets, simhash, toxicity, url_filter
+from quillmark.llm import bpe, langid, packing, secrets, simhash, toxicity, url_filter, warc
 from quillmark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -49,6 +49,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.accepted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.write_archives(pages, warc.archive_folder(pages))
+    return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash.simhash_groups(docs)
@@ -92,4 +98,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op5_simhash, op6_url_filter, op7_secrets, op8_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_warc, op5_simhash, op6_url_filter, op7_secrets, op8_bpe, op9_packing)}
