@@ -77,3 +77,20 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM q
 """
+
+ORACLES["op10_epsilon_join"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (
+  SELECT n, vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.n AS a, b.n AS b FROM u a JOIN u b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(a, b) AS (SELECT n, n FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT r.a AS n, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.n = r.b GROUP BY r.a),
+counted AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN named USING (n) LEFT JOIN counted USING (n)
+"""

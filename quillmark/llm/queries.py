@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, langid, packing, secrets, simhash, toxicity, url_filter, warc
+from quillmark.llm import bpe, epsilon_join, langid, packing, permutation, secrets, simhash, toxicity, url_filter, warc
 from quillmark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -55,6 +55,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation.search(vectors, vectors.where(permutation.divisible("vec_id", 50)))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     groups = simhash.simhash_groups(docs)
@@ -98,4 +103,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_warc, op5_simhash, op6_url_filter, op7_secrets, op8_bpe, op9_packing)}
+def op10_epsilon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_warc, op4_permutation, op5_simhash, op6_url_filter, op7_secrets, op8_bpe, op9_packing, op10_epsilon_join)}
