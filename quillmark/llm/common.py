@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,5 +45,15 @@ def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its flat values; no Python object per value."""
+    rows: list[np.ndarray] = []
+    for chunk in column.chunks:
+        offsets = chunk.offsets.to_numpy(zero_copy_only=False)
+        flat = chunk.values.to_numpy(zero_copy_only=False)
+        rows += [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return rows
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import list_rows
+
 #: Words are hashed into so many features; a feature is whether a text has it.
 FEATURES = 1 << 20
 #: Labelled rows that are fitted at most, and features that get a weight at most.
-MAX_ROWS, MAX_WEIGHTS = 20_000, 1024
+MAX_ROWS, MAX_WEIGHTS = 10_000, 1024
 PREFIXES = (4, 5, 6)
 #: Signed root of the likelihood ratio that a feature needs to get a weight.
 EVIDENCE = 4.5
@@ -34,7 +36,7 @@ def word_features(word: str) -> tuple[int, ...]:
 
 
 def features(text: str | None) -> np.ndarray:
-    return np.array(sorted({f for w in set((text or "").lower().split()) for f in word_features(w)}), np.int64)
+    return np.array(sorted({f for w in set((text or "").lower().split()) for f in word_features(w)}), np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -58,8 +60,8 @@ class _Rows:
 
     def __init__(self, rows: list[np.ndarray]):
         self.n = len(rows)
-        self.flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.owner = np.repeat(np.arange(self.n), np.fromiter(map(len, rows), np.int64, self.n))
+        self.flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), np.fromiter(map(len, rows), np.int64, self.n))
         self.weight = np.ones(self.n)
         if self.n:
             self._share_copies()
@@ -68,7 +70,7 @@ class _Rows:
         """Rows with the same `SKETCH` least uncommon features are copies; they share one weight."""
         held = np.bincount(self.flat, minlength=FEATURES)
         uncommon = (held[self.flat] >= 2) & (held[self.flat] <= max(2, self.n // 100))
-        owner, mixed = self.owner[uncommon], (self.flat[uncommon] * 0x9E3779B1) % 0xFFFFFFFB
+        owner, mixed = self.owner[uncommon], (self.flat[uncommon].astype(np.int64) * 0x9E3779B1) % 0xFFFFFFFB
         order = np.lexsort((mixed, owner))
         owner, mixed = owner[order], mixed[order]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
@@ -202,7 +204,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([features(t) for t in texts], pa.list_(pa.int64()))],
+            [batch.column(0), batch.column(1), pa.array([features(t) for t in texts], pa.list_(pa.int32()))],
             names=["id", "toxic", "features"],
         )
 
@@ -223,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
     sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "t")
-    table = sample.mapInArrow(_sampled, "id long, toxic int, features array<long>").toArrow().sort_by("id")
-    rows = [np.array(x, np.int64) for x in table.column("features").to_pylist()]
-    toxic = np.array(table.column("toxic").to_pylist(), np.int64) > 0
+    table = sample.mapInArrow(_sampled, "id long, toxic int, features array<int>").toArrow().sort_by("id")
+    rows = list_rows(table.column("features"))
+    toxic = table.column("toxic").to_numpy() > 0
     return fit_ordinal(rows, severity_grades(rows, toxic), 3)
 
 
