@@ -37,14 +37,14 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Learned from text and language of the documents that are not held out."""
+    return langid.fit(docs.select("doc_id", "text", "lang").where(~F.coalesce(held_out(), F.lit(False))))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = language_model(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_model(docs)
     found = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), langid.predict(docs, model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.accepted")
 

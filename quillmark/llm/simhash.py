@@ -194,6 +194,19 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, cell_rows: int = CELL_ROW
     return dealt.mapInArrow(lambda it: _linked(it, radius), "a long, b long")
 
 
+def _components(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """(fp, component, component_id) for each fingerprint of ``prints``: the smallest fingerprint
+    reachable, and the smallest id of all rows that hold one of the component's fingerprints."""
+    members = stage_table(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprints")
+    labels = connected_components(fingerprint_links(members, radius))
+    grouped = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
+    grouped = stage_table(grouped, "grouped")
+    least = stage_table(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    return stage_table(grouped.join(least, "component").select("fp", "component", "component_id"), "named")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3
 ) -> DataFrame:
@@ -205,13 +218,27 @@ def simhash_groups(
     their own row; other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     prints = stage_table(docs.select(F.col(id_col), fingerprint(text_col, width).alias("fp")), "prints")
-    members = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    members = stage_table(members, "fingerprints")
-    labels = connected_components(fingerprint_links(members, radius))
-    grouped = members.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    grouped = stage_table(grouped, "grouped")
-    least = stage_table(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    named = stage_table(grouped.join(least, "component").select("fp", "component_id"), "named")
+    named = _components(prints, id_col, radius)
     return prints.join(named, "fp").select(F.col(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id.
+
+    A row without an id stays only if no row of its component has one; of repeated rows one stays.
+    All columns are returned as they are; their names may be any but __row and __fp.
+    """
+    rows = stage_table(docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprint(text_col, width)}), "rows")
+    prints = rows.select("__row", F.col("__fp").alias("fp"), F.col(id_col).alias("id"))
+    named = _components(prints, "id", radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")
+    by_print = stage_table(prints.groupBy("fp").agg(first), "first-of-print")
+    kept = (
+        by_print.join(named.select("fp", "component"), "fp")
+        .groupBy("component")
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.__row").alias("__row"))
+    )
+    return rows.join(kept, "__row", "left_semi").drop("__row", "__fp")
