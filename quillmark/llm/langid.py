@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.llm.common import list_rows
+
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Lengths of the subwords taken from ``<word>``; the whole word counts as well.
 LENGTHS = (2, 3, 4)
 #: Labelled rows that are fitted for each language at most.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 1000
 #: Words remembered by a task at most, and their letters; then it starts anew.
 CACHE_WORDS, CACHE_LETTERS = 200_000, 8_000_000
 #: Letters of texts that are judged together.
@@ -150,7 +152,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             used, counts = bucket_counts(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label]), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))],
+                [pa.array([label]), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))],
                 names=["label", "used", "counts"],
             )
 
@@ -164,21 +166,17 @@ def fit(
     label or text, or without a letter, are not used. A quarter of the rows is kept from the fit
     and sets the temperature and the score below which a text is rejected.
     """
-    ranked = Window.partitionBy("l").orderBy(F.xxhash64("o"), "o", "t")
-    sample = (
-        labelled.select(F.col(label).alias("l"), F.col(order).alias("o"), F.col(text).alias("t"))
-        .where(r"l IS NOT NULL AND t RLIKE '\\p{L}'")
-        .withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= rows_per_language)
-        .select("l", "t")
-        .mapInArrow(_counted, "label string, used array<int>, counts array<long>")
+    rows = labelled.select(F.col(label).alias("l"), F.xxhash64(order, text).alias("h"), F.col(text).alias("t")).where(
+        r"l IS NOT NULL AND t RLIKE '\\p{L}'"
     )
-    table = sample.toArrow()
+    # languages and hashes only are ranked; each task passes on its first rows of each language
+    ranked = Window.partitionBy("l").orderBy("h")
+    chosen = rows.select("l", "h").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= rows_per_language)
+    sample = rows.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
+    table = sample.select("l", "t").mapInArrow(_counted, "label string, used array<int>, counts array<int>").toArrow()
     labels = table.column("label").to_pylist()
-    used = [np.array(x, np.int64) for x in table.column("used").to_pylist()]
-    counts = [np.array(x, float) for x in table.column("counts").to_pylist()]
-    rows = [i for i in range(len(labels)) if len(used[i])]
-    return train([labels[i] for i in rows], [used[i] for i in rows], [counts[i] for i in rows], epochs)
+    used, counts = list_rows(table.column("used")), list_rows(table.column("counts"))
+    return train(labels, used, counts, epochs)
 
 
 def train(labels: list[str], used: list[np.ndarray], counts: list[np.ndarray], epochs: int = 6, batch: int = 64, rate: float = 0.5) -> LanguageModel:
