@@ -720,11 +720,11 @@ def joined_spans(spark, sf_dir):
 
 
 @query(f"""WITH {_LINES_SQL}, n AS (SELECT l_orderkey, count(*) AS pages FROM l GROUP BY ALL), e AS (SELECT l_orderkey, l_returnflag AS text, count(*) AS c, max(l_tax) - min(l_tax) AS drift FROM l GROUP BY ALL)
-SELECT l_orderkey AS document_id, 'header' AS role, text, c AS pages FROM e JOIN n USING (l_orderkey) WHERE c >= 3 AND c >= 0.5 * pages AND drift <= 0.05""")
+SELECT l_orderkey AS document_id, 'header' AS role, text, c AS pages FROM e JOIN n USING (l_orderkey) WHERE c >= 3 AND c >= 0.5 * pages AND drift < 0.052""")
 def repeated_edges(spark, sf_dir):
     """Lines of an order as pages, each with its return flag as a header that drifts with the tax."""
     li = numbered_lines(spark, sf_dir)
-    y = 0.01 + F.col("l_tax") / 5
+    y = 0.01 + 0.19 * F.col("l_tax")
     rows = li.select(F.col("l_orderkey").alias("document_id"), F.col("line").alias("page"), F.col("l_returnflag").alias("text"), F.lit(0.1).alias("x0"), y.alias("y0"), F.lit(0.9).alias("x1"), (y + 0.02).alias("y1"))
     return layout.repeated_edges(rows, li.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.count("*").alias("pages")))
 
