@@ -142,3 +142,44 @@ def sanitized(json: Column) -> Column:
     """A flat JSON object without keys that name a secret."""
     hidden = "(?i)(api_key|authorization|cookie|credential|password|secret|access_token)"
     return F.to_json(F.map_filter(F.from_json(json, "map<string, string>"), lambda k, _: ~k.rlike(hidden)))
+
+
+def inspection_facts(counts: dict[str, Column], chunk_warnings: Column, base: Column, zero_reason: Column) -> dict[str, Column]:
+    """Facts of a finished run for a planner, its warnings with them, and whether trying again may help."""
+    partial = (counts["chunks_failed"] > 0) | F.array_contains(base, "PARTIAL_CHUNK_FAILURE")
+    over = F.arrays_overlap(chunk_warnings, F.array(F.lit("CHUNK_PROMPT_OVER_BUDGET"), F.lit("CHUNK_OVERSIZED_BLOCK")))
+    facts = F.array_compact(
+        F.array(
+            F.when(partial, "PARTIAL_CHUNK_FAILURE"),
+            F.when(over, "CHUNK_PROMPT_OVER_BUDGET"),
+            F.when((counts["validated"] == 0) & (counts["quarantined"] > 0), "ALL_CANDIDATES_QUARANTINED"),
+            F.when(zero_reason.isin("NO_REQUIREMENTS_FOUND", "NO_VALID_MODEL_ITEMS"), "NO_REQUIREMENTS_FOUND"),
+            F.when(counts["rejected"] > 0, "MODEL_ITEMS_REJECTED"),
+        )
+    )
+    return {"facts": facts, "warning_codes": F.array_distinct(F.concat(base, facts)), "retryable": partial | over}
+
+
+def replay_mismatches(requests: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Steps of a replay whose request is not the recorded one: run, step, problem. Both: run, step
+    (from 1), request_fingerprint; every step must agree, in order."""
+    a, b = requests.select("run", "step", F.col("request_fingerprint").alias("asked")), recorded.select("run", "step", F.col("request_fingerprint").alias("held"))
+    problem = F.when(F.col("held").isNull(), "NOT_RECORDED").when(F.col("asked").isNull(), "NOT_REQUESTED").when(F.col("asked") != F.col("held"), "REQUEST_DIFFERS")
+    return a.join(b, ["run", "step"], "full").select("run", "step", problem.alias("problem")).where("problem is not null")
+
+
+def exact_checks(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """(key, check, passed) for every column of ``expected``: values, lists included, must be equal."""
+    names = [c for c in expected.columns if c != key]
+    joined = expected.alias("e").join(actual.alias("a"), key, "left")
+    checks = F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")).alias("passed")) for c in names])
+    return joined.select(key, F.explode(checks).alias("c")).select(key, "c.check", "c.passed")
+
+
+def task_readable(status: Column, generation: Column, expected_generation: Column, fingerprint: Column, expected_fingerprint: Column) -> Column:
+    """The code of the first reason why a task's artifacts may not be read, or null."""
+    return (
+        F.when(~status.isin("completed", "completed_with_warnings"), "TASK_NOT_READABLE")
+        .when(generation != expected_generation, "RUN_GENERATION_MISMATCH")
+        .when(~fingerprint.eqNullSafe(expected_fingerprint), "EVIDENCE_FINGERPRINT_MISMATCH")
+    )

@@ -150,3 +150,16 @@ def coerce_items(items: DataFrame, blocks: DataFrame, context: DataFrame, table_
         F.struct(i("source_block_id").alias("block_id"), quote.alias("quote"), F.array_join("section_path", " > ").alias("section"), F.col("page"),
                  F.coalesce(cells, F.expr("cast(array() as array<string>)")).alias("cell_ids"), row_index.alias("row_index")).alias("source"),
     )
+
+
+def normalized_requirements(df: DataFrame) -> DataFrame:
+    """Statements without white space at their ends; an empty pattern or method is ``unknown``."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))
+    return df.withColumns({"statement": strip(F.col("statement")), "ears_pattern": known("ears_pattern"), "verification_method": known("verification_method")})
+
+
+def items_of_chunks(items: DataFrame, chunk_blocks: DataFrame) -> DataFrame:
+    """Fixture items (source_block_id) that each chunk would give: those that cite one of its blocks
+    (document_id, chunk_id, block_id)."""
+    held = chunk_blocks.select("document_id", "chunk_id", F.col("block_id").alias("source_block_id")).distinct()
+    return held.join(items, ["document_id", "source_block_id"])

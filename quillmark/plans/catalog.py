@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions import geometry, rates, text
-from quillmark.operators import agent, chunking, evaluate, evidence, export, items, layout, merge, migrate, quotes, review, validate
+from quillmark.operators import agent, chunking, evaluate, evidence, export, items, layout, merge, migrate, quotes, reading, review, tables, validate
 from quillmark.sources import artifacts, blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -681,6 +681,83 @@ def table_row_locators(spark, sf_dir):
     return evidence.table_rows(wanted, occ).select("source_key", "error", "row_index", F.array_join("cell_ids", ",").alias("cell_ids"), "page")
 
 
+def logical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as cells of a table with three columns; returned ones are empty."""
+    li = numbered_lines(spark, sf_dir)
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "line").alias("cell_id"), F.col("l_orderkey").alias("table_id"), (F.floor((F.col("line") - 1) / 3) + 1).cast("int").alias("row"),
+        ((F.col("line") - 1) % 3 + 1).cast("int").alias("column"), F.lit(1).alias("row_span"), F.lit(1).alias("column_span"), F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_returnflag")).alias("text"),
+    )
+
+
+@query("""WITH l AS (SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_returnflag = 'R' AS e FROM lineitem),
+c AS (SELECT t, count(*) AS k, max(CASE WHEN n = 1 THEN e::INTEGER END) AS e1, max(CASE WHEN n = 2 THEN e::INTEGER END) AS e2, max(CASE WHEN n = 3 THEN e::INTEGER END) AS e3 FROM l GROUP BY t)
+SELECT t AS source_key, CASE WHEN k < 3 THEN 'UNKNOWN_CELL' WHEN e1 = 1 AND e3 = 1 THEN 'ALL_CELLS_EMPTY' WHEN e1 = 1 OR e3 = 1 THEN 'EMPTY_CELL_OUTSIDE' WHEN e2 = 0 THEN 'TEXT_LEFT_OUT' END AS error,
+CASE WHEN k >= 3 AND e1 = 0 AND e3 = 0 AND e2 = 1 THEN t || '-1,' || t || '-3' END AS cell_ids FROM c""")
+def canonical_cells(spark, sf_dir):
+    """The first and third cell of each order's first row, as a source would cite them."""
+    c = logical_cells(spark, sf_dir)
+    t = c.groupBy("table_id").agg(F.max("row").alias("rows"), F.lit(False).alias("sparse"))
+    picked = t.select(F.col("table_id").alias("source_key"), F.lit("b").alias("block_id"), "table_id", F.lit(1).alias("row_index"), F.array(F.concat(F.col("table_id").cast("string"), F.lit("-3")), F.concat(F.col("table_id").cast("string"), F.lit("-1"))).alias("cell_ids"))
+    held = c.select(F.lit("b").alias("block_id"), "cell_id", F.col("row").alias("row_index"))
+    return tables.canonical_selection(picked, c, t, held).select("source_key", "error", F.array_join("cell_ids", ",").alias("cell_ids"))
+
+
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS root,
+ first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rs FROM orders), p AS (SELECT *, n + (o_orderkey % 9 = 0)::INTEGER AS page FROM t), q AS (SELECT *, lag(page) OVER (PARTITION BY o_custkey ORDER BY n) AS pb,
+ first_value(page) OVER (PARTITION BY o_custkey ORDER BY n) AS rp FROM p)
+SELECT o_orderkey AS table_id, 'OTHER_BASIS' AS problem FROM q WHERE n > 1 AND s <> rs UNION ALL SELECT o_orderkey, 'PAGE_NOT_AFTER_ROOT' FROM q WHERE n > 1 AND page <= rp UNION ALL SELECT o_orderkey, 'PAGES_NOT_ADJACENT' FROM q WHERE n > 1 AND page <> pb + 1""")
+def continuation_rules(spark, sf_dir):
+    """A customer's orders as the parts of one table; some stand on the wrong page or differ from the first."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    n = F.row_number().over(w)
+    t = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("table_id"), F.col("o_custkey").alias("group_id"), n.alias("sequence"), F.when(n == 1, "start").otherwise("continuation").alias("role"),
+        F.when(n > 1, F.first("o_orderkey").over(w)).alias("root_id"), (n + (F.col("o_orderkey") % 9 == 0).cast("int")).alias("page"), F.lit(3).alias("columns"), F.lit("T").alias("label"), F.col("o_orderstatus").alias("basis"),
+    )
+    return tables.continuation_violations(t)
+
+
+@query("""WITH l AS (SELECT l_orderkey || '-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_returnflag AS f FROM lineitem)
+SELECT id AS key, 'ORIGINAL_NOT_AT_ANCHOR' AS problem FROM l WHERE f = 'A' UNION ALL SELECT id, CASE f WHEN 'N' THEN 'PROJECTION_NOT_IN_SPAN' ELSE 'HEADER_NOT_PROJECTED' END FROM l WHERE f <> 'A' UNION ALL SELECT id, 'NOT_ONE_ORIGINAL' FROM l WHERE f <> 'A'""")
+def occurrence_rules(spark, sf_dir):
+    """Each cell occurs once, off its row or with a role that it cannot have."""
+    c = logical_cells(spark, sf_dir).withColumn("is_header", F.lit(False))
+    flags = numbered_lines(spark, sf_dir).select(F.concat_ws("-", "l_orderkey", "line").alias("cell_id"), "l_returnflag")
+    role = F.when(F.col("l_returnflag") == "A", "original").when(F.col("l_returnflag") == "N", "row_span_projection").otherwise("repeated_header")
+    o = c.join(flags, "cell_id").select(F.col("cell_id").alias("occurrence_id"), F.lit("b").alias("block_id"), "cell_id", (F.col("row") + F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("row_index"), role.alias("role"))
+    b = spark.createDataFrame([("b", 1, 1, 99)], "block_id string, position int, first_row int, last_row int")
+    return tables.occurrence_violations(o, c.select("cell_id", "table_id", "row", "row_span", "is_header"), b)
+
+
+@query("""SELECT 'cells' AS relation, l_orderkey || '-' || n AS key, 'DIGEST_DIFFERS' AS problem FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE l_returnflag = 'A'""")
+def record_invariants(spark, sf_dir):
+    c = logical_cells(spark, sf_dir).withColumn("text_sha256", F.when(F.col("text") == "A", "0").otherwise(F.sha2("text", 256)))
+    text_only = F.array(F.lit("text_range"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), text_only.alias("expected"), text_only.alias("available"), F.lit(None).cast("int").alias("first_row"), F.lit(None).cast("int").alias("last_row"), F.lit(None).cast("string").alias("table_id"), F.expr("cast(array() as array<string>)").alias("cell_ids"), F.lit(None).cast("string").alias("box"), F.lit(None).cast("int").alias("page"))
+    t = c.groupBy("table_id").agg(F.max("row").alias("rows"), F.max("column").alias("columns"))
+    return tables.record_violations(b, c, t)
+
+
+@query("""SELECT event_id, sha256('{"a":[' || event_id || ',"é"],"k":' || json_extract_string(props, '$.k') || '}') AS fingerprint FROM events""")
+def evidence_fingerprints(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    payload = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "a" : ['), F.col("event_id").cast("string"), F.lit(', "é"]}'))
+    return e.select("event_id", tables.fingerprint(payload).alias("fingerprint"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'FAIL_INVALID_REFERENCE' WHEN event_id % 3 = 1 THEN 'PASS' WHEN event_id % 3 = 2 THEN 'WARNING_AMBIGUOUS' ELSE 'FAIL_DERIVATION' END AS text_status,
+CASE WHEN event_id % 7 = 0 THEN 'WARNING_UNAVAILABLE' WHEN event_id % 5 <> 4 AND event_id % 3 = 2 THEN 'WARNING_AMBIGUOUS' WHEN event_id % 4 = 0 THEN 'FAIL_DERIVATION' WHEN event_id % 2 = 0 THEN 'PASS' ELSE 'FAIL_INVALID_REFERENCE' END AS cell_status FROM events""")
+def capability_results(spark, sf_dir):
+    e = F.col("event_id")
+    status = F.when(e % 3 == 1, "UNIQUE_MATCH").when(e % 3 == 2, "AMBIGUOUS_MATCH").otherwise("NO_MATCH")
+    found = tables.text_result(status, F.when(e % 3 == 1, 1), e % 5 != 4)
+    rows = table(spark, sf_dir, "events").select("event_id", found["status"].alias("text_status"))
+    derived = F.when(e % 4 != 0, F.array(F.lit("c1")))
+    stated = F.when(e % 2 == 0, F.array(F.lit("c1"))).otherwise(F.array(F.lit("c2")))
+    return rows.withColumn("cell_status", tables.checked_result(e % 7 != 0, stated, derived, F.col("text_status")))
+
+
 # Layout ----------------------------------------------------------------------------------------
 
 
@@ -740,6 +817,17 @@ def continued_tables(spark, sf_dir):
     return layout.continued_tables(t)
 
 
+@query()
+def reading_order(spark, sf_dir):
+    """Lines of an order as blocks of a page in up to two columns under a wide one."""
+    li = numbered_lines(spark, sf_dir)
+    left = F.when(F.col("line") == 1, 0.0).when(F.col("l_quantity") % 2 == 0, 0.0).otherwise(55.0)
+    right = F.when(F.col("line") == 1, 100.0).otherwise(left + 40)
+    y = F.floor(F.col("line") / 2) * 20.0
+    rows = li.select(F.col("l_orderkey").alias("document_id"), F.lit(1).alias("page"), F.col("line").cast("string").alias("block_id"), F.col("line").alias("source"), left.alias("x0"), y.cast("double").alias("y0"), right.alias("x1"), (y + 15.0).alias("y1"), F.lit(100.0).alias("width"))
+    return reading.reading_order(rows)
+
+
 # Reviews, runs and logs ------------------------------------------------------------------------
 
 
@@ -848,6 +936,48 @@ def secret_keys_dropped(spark, sf_dir):
     return e.select("event_id", agent.sanitized(dirty).alias("safe"))
 
 
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, event_type, event_id FROM events)
+SELECT user_id AS run, step, CASE WHEN step % 17 = 0 THEN 'NOT_RECORDED' ELSE 'REQUEST_DIFFERS' END AS problem FROM e WHERE step % 17 = 0 OR (event_id % 10 = 0 AND event_type <> 'click')""")
+def replay_mismatches(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(w).cast("long"))
+    asked = e.select(F.col("user_id").alias("run"), "step", F.sha2("event_type", 256).alias("request_fingerprint"))
+    held = e.where("step % 17 <> 0").select(F.col("user_id").alias("run"), "step", F.sha2(F.when(F.col("event_id") % 10 == 0, "click").otherwise(F.col("event_type")), 256).alias("request_fingerprint"))
+    return agent.replay_mismatches(asked, held)
+
+
+@query("""SELECT user_id, 'kinds' AS "check", list_sort(list(DISTINCT event_type)) = ['click', 'error', 'purchase', 'signup', 'view'] AS passed FROM events GROUP BY user_id UNION ALL SELECT user_id, 'n', count(*) = 60 FROM events GROUP BY user_id""")
+def agent_checks(spark, sf_dir):
+    actual = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"), F.count("*").alias("n"))
+    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
+    expected = actual.select("user_id", kinds.alias("kinds"), F.lit(60).cast("long").alias("n"))
+    return agent.exact_checks(expected, actual, "user_id")
+
+
+@query("""SELECT user_id, array_to_string(list_filter([CASE WHEN f > 0 THEN 'PARTIAL_CHUNK_FAILURE' END, CASE WHEN v = 0 AND q > 0 THEN 'ALL_CANDIDATES_QUARANTINED' END, CASE WHEN r > 0 THEN 'MODEL_ITEMS_REJECTED' END], lambda x: x IS NOT NULL), ',') AS facts, f > 0 AS retryable
+FROM (SELECT user_id, count(CASE WHEN event_type = 'signup' AND event_id % 9 = 0 THEN 1 END) AS f, count(CASE WHEN event_type = 'purchase' AND event_id % 29 = 0 THEN 1 END) AS v, count(CASE WHEN event_type = 'click' THEN 1 END) AS q, count(CASE WHEN event_type = 'error' AND event_id % 7 = 0 THEN 1 END) AS r FROM events GROUP BY user_id)""")
+def inspection_facts(spark, sf_dir):
+    n = lambda kind, by: F.count_if((F.col("event_type") == kind) & (F.col("event_id") % by == 0))
+    counted = table(spark, sf_dir, "events").groupBy("user_id").agg(n("signup", 9).alias("chunks_failed"), n("purchase", 29).alias("validated"), n("click", 1).alias("quarantined"), n("error", 7).alias("rejected"))
+    none = F.expr("cast(array() as array<string>)")
+    found = agent.inspection_facts({c: F.col(c) for c in counted.columns}, none, none, F.lit("other"))
+    return counted.select("user_id", F.array_join(found["facts"], ",").alias("facts"), found["retryable"].alias("retryable"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'TASK_NOT_READABLE' WHEN o_orderkey % 3 = 0 THEN 'RUN_GENERATION_MISMATCH' WHEN o_orderkey % 5 = 0 THEN 'EVIDENCE_FINGERPRINT_MISMATCH' END AS code FROM orders""")
+def task_guards(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    code = agent.task_readable(status, (k % 3 == 0).cast("int"), F.lit(0), F.when(k % 5 != 0, "f"), F.lit("f"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"))
+
+
+@query("""SELECT doc_id, trim(text, ' ' || chr(10)) AS statement, 'unknown' AS ears_pattern, CASE WHEN lang = 'en' THEN 'en' ELSE 'unknown' END AS verification_method FROM documents""")
+def requirement_defaults(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(" \n "), "text", F.lit("\n")).alias("statement"), F.lit(None).cast("string").alias("ears_pattern"), F.when(F.col("lang") == "en", "en").otherwise("").alias("verification_method"))
+    return items.normalized_requirements(docs)
+
+
 # Export, search and migration ------------------------------------------------------------------
 
 
