@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 import numpy as np
 import pyarrow as pa
@@ -57,3 +58,18 @@ def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_CACHE: dict[Hashable, object] = {}
+
+
+def worker_cache(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept in this Python worker from task to task.
+
+    One thing is kept at a time: a worker that goes on to another operator frees what it had, so
+    the tables of a pipeline's stages do not add up.
+    """
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import list_rows
+from quillmark.llm.common import list_rows, worker_cache
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -241,13 +242,12 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray]], y
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
     """A struct (lang, score, accepted) for each whole text; `UNKNOWN` with score 0 if it has no letter."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept: list[WordSums] = []
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang: string, score: double, accepted: boolean>")
     def of(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(WordSums(sent.value))
-        found = list(kept[0].predict(texts.to_pylist()))
+        held = worker_cache(name, lambda: WordSums(sent.value))
+        found = list(held.predict(texts.to_pylist()))
         lang, score = [f[0] for f in found], [f[1] for f in found]
         accepted = [f[0] != UNKNOWN and f[1] >= sent.value.threshold for f in found]
         return pa.StructArray.from_arrays(

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import stage_table, utf8_rows
+from quillmark.llm.common import stage_table, utf8_rows, worker_cache
 from quillmark.llm.components import connected_components, star_forest
 
 BITS = 64
@@ -61,6 +61,7 @@ def fingerprint(text: Column | str, width: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
+        worker_cache("simhash", dict)  # frees what another operator kept
         return pa.array([simhash(t, width) for t in utf8_rows(texts)], pa.int64())
 
     return of(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import list_rows
+from quillmark.llm.common import list_rows, worker_cache
 
 #: Words are hashed into so many features; a feature is whether a text has it.
 FEATURES = 1 << 20
@@ -258,13 +259,12 @@ def predict(df: DataFrame, model: OrdinalModel, text: str = "text") -> Column:
     A null or empty text has no features and is judged by the cuts alone.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    kept: list[_Weights] = []
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("struct<severity: double, p_toxic: double, grade: int>")
     def of(texts: pa.Array) -> pa.Array:
-        if not kept:
-            kept.append(_Weights(sent.value))
-        scores = np.array([kept[0].score(t) for t in texts.to_pylist()])
+        held = worker_cache(name, lambda: _Weights(sent.value))
+        scores = np.array([held.score(t) for t in texts.to_pylist()])
         p = sent.value.at_least(scores) if len(scores) else np.empty((0, len(sent.value.cuts)))
         mass = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
         return pa.StructArray.from_arrays(
