@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.tokens import BYTE_LEVEL, WordTable, byte_pieces, kept_table
+from quillmark.llm.common import worker_cache
+from quillmark.llm.tokens import BYTE_LEVEL, WordTable, byte_pieces
 
 
 def encode(path: str, text: str = "text") -> Column:
@@ -18,7 +19,7 @@ def encode(path: str, text: str = "text") -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        table = kept_table(("ids", path), lambda: WordTable(path, BYTE_LEVEL, lambda x: x.astype(np.int32)))
+        table = worker_cache(("ids", path), lambda: WordTable(path, BYTE_LEVEL, lambda x: np.array(x, np.int32)))
         none = np.empty(0, np.int32)
         parts = [np.concatenate([none, *p]) for p in table.parts(texts.to_pylist())]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -41,10 +42,10 @@ def decode(path: str, ids: str = "ids") -> Column:
 
 def _digest_table(path: str) -> WordTable:
     pieces = byte_pieces(Tokenizer.from_file(path))
+    digits = [str(i).encode() for i in range(len(pieces))]
 
-    def made(ids: np.ndarray) -> tuple[bytes, int, bytes]:
-        listed = ids.tolist()
-        return ",".join(map(str, listed)).encode(), len(listed), b"".join([pieces[i] for i in listed])
+    def made(ids: list[int]) -> tuple[bytes, int, bytes]:
+        return b",".join([digits[i] for i in ids]), len(ids), b"".join([pieces[i] for i in ids])
 
     return WordTable(path, BYTE_LEVEL, made)
 
@@ -56,7 +57,7 @@ def digests(path: str, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
-        table = kept_table(("digests", path), lambda: _digest_table(path))
+        table = worker_cache(("digests", path), lambda: _digest_table(path))
         n, ids, decoded = [], [], []
         for parts in table.parts(texts.to_pylist()):
             n.append(sum([p[1] for p in parts]))

@@ -7,7 +7,9 @@ to the plan's places by their rank.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -17,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import stage_table
-from quillmark.llm.tokens import SPACED, WordTable, kept_table
+from quillmark.llm.common import stage_table, worker_cache
+from quillmark.llm.tokens import SPACED, WordTable
 
 CAPACITY = 2048
 #: Pieces of one length are ranked in at least so many groups, and so many pieces make one more.
@@ -234,17 +236,25 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return found.select("__piece.*", "__at.*")
 
 
+def _little(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit numbers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def token_pieces(path: str, text: str = "text", end: int = 0, capacity: int = CAPACITY) -> Column:
     """The pieces of each whole text: array of (start, length, ids_crc32) of its ids and ``end``.
 
     Only a text of more than ``capacity`` ids is cut, the last piece being the shorter one; null
     text counts as empty and so is one piece that holds ``end`` alone.
     """
-    last = np.array([end], "<u4").tobytes()
+    last = _little([end])
 
     @F.arrow_udf("array<struct<start: long, length: long, ids_crc32: long>>")
     def pieces(texts: pa.Array) -> pa.Array:
-        table = kept_table(("pieces", path), lambda: WordTable(path, SPACED, lambda x: x.astype("<u4").tobytes()))
+        table = worker_cache(("pieces", path), lambda: WordTable(path, SPACED, _little))
         offsets, start, length, crc = [0], [], [], []
         for parts in table.parts(texts.to_pylist()):
             ids = b"".join(parts) + last

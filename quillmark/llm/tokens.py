@@ -12,16 +12,14 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Words remembered by a worker at most; then its table starts anew.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 500_000
 #: Longer words are encoded but not remembered.
 LONGEST_WORD = 256
-#: Letters of texts whose new words are encoded together, and new words in one call.
+#: Letters of texts whose words are looked up together.
 BATCH_LETTERS = 2_000_000
-CALL_WORDS = 2_000
 
 #: The characters of texts that are split here: ASCII, Latin letters and common punctuation. On
 #: these, Python and the tokenizers' patterns agree about letters, digits and white space, and
@@ -35,13 +33,10 @@ _OTHER = f"[^{_SPACE}{_LETTER}0-9]"
 
 @dataclass(frozen=True)
 class Splitter:
-    """The words of a plain text, as the tokenizer itself splits it, and which of them can be
-    written one after another, each with ``lead`` before it, without changing the split."""
+    """The words of a plain text, as the tokenizer itself normalises and splits it."""
 
     words: re.Pattern
-    lead: str
     lower: bool
-    safe: re.Pattern
 
     def split(self, text: str) -> list[str] | None:
         """None for a text that must be encoded whole."""
@@ -51,45 +46,44 @@ class Splitter:
 
 
 BYTE_LEVEL = Splitter(
-    re.compile(f" ?[{_LETTER}]+| ?[0-9]+|{_CONTRACTION}| ?{_OTHER}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"),
-    "", False, re.compile(f" [{_LETTER}]+"),
-)
-SPACED = Splitter(re.compile(f"[{_LETTER}]+|[0-9]|{_CONTRACTION}|{_OTHER}+"), " ", True, re.compile(f"[{_LETTER}]+"))
+    re.compile(f" ?[{_LETTER}]+| ?[0-9]+|{_CONTRACTION}| ?{_OTHER}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"), False
+)
+SPACED = Splitter(re.compile(f"[{_LETTER}]+|[0-9]|{_CONTRACTION}|{_OTHER}+"), True)
+
+
+def shown_bytes() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others in order from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in set(printable))
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_SHOWN = str.maketrans({chr(b): c for b, c in shown_bytes().items()})
 
 
 class WordTable:
-    """Distinct words with what ``made`` gives for their ids; each is encoded once."""
+    """Distinct words with what ``made`` gives for their ids (a list); each is encoded once.
 
-    def __init__(self, path: str, splitter: Splitter, made: Callable[[np.ndarray], object]):
+    A word is what the tokenizer hands to its model, so the model alone encodes it, in the
+    characters that stand for its bytes.
+    """
+
+    def __init__(self, path: str, splitter: Splitter, made: Callable[[list[int]], object]):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.splitter = splitter
         self.made = made
         self.table: dict[str, object] = {}
 
-    def _encode(self, text: str) -> object:
-        return self.made(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, many in one call where their split is sure to come out the same."""
-        safe = self.splitter.safe.fullmatch
-        together = [w for w in words if safe(w)]
-        for at in range(0, len(together), CALL_WORDS):
-            part = together[at : at + CALL_WORDS]
-            found = self.tokenizer.encode("".join([self.splitter.lead + w for w in part]), add_special_tokens=False)
-            owner = np.array(found.word_ids, np.int64)
-            ids = np.array(found.ids, np.uint32)
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            if len(first) != len(part):  # not as expected: one by one
-                for w in part:
-                    self.table[w] = self._encode(w)
-                continue
-            for w, x in zip(part, np.split(ids, first[1:])):
-                self.table[w] = self.made(x)
-        for w in words:
-            if not safe(w):
-                self.table[w] = self._encode(w)
+    def _whole(self, text: str) -> object:
+        return self.made(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> object:
+        plain = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return self.made([t.id for t in self.model.tokenize(plain)])
 
     def parts(self, texts: list[str | None]) -> Iterator[list[object]]:
         """For each whole text, in order, what ``made`` gave for each of its words."""
@@ -107,32 +101,20 @@ class WordTable:
                 self.table.clear()
             table = self.table
             new = set().union(*[x for x in split if isinstance(x, list)]).difference(table)
-            self._learn(list(new))
+            for word in new:
+                table[word] = self._word(word)
             for words in split:
-                yield [self._encode(words)] if isinstance(words, str) else [table[w] for w in words]
+                yield [self._whole(words)] if isinstance(words, str) else [table[w] for w in words]
             for word in new:
                 if len(word) > LONGEST_WORD:
                     del table[word]
 
 
-#: Tables outlive a task: a worker that runs many tasks encodes a word once.
-_KEPT: dict[tuple, WordTable] = {}
-
-
-def kept_table(key: tuple, make: Callable[[], WordTable]) -> WordTable:
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 def byte_pieces(tokenizer: Tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; special tokens are their own text."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    shown = {chr(b): b for b in printable}
-    hidden = (b for b in range(256) if b not in set(printable))
-    shown |= {chr(256 + n): b for n, b in enumerate(hidden)}
+    byte_of = {c: b for b, c in shown_bytes().items()}
     added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     pieces = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for piece, at in tokenizer.get_vocab(with_added_tokens=True).items():
-        pieces[at] = added[at].encode() if at in added else bytes(shown[c] for c in piece)
+        pieces[at] = added[at].encode() if at in added else bytes(byte_of[c] for c in piece)
     return pieces

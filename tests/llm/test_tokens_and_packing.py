@@ -24,7 +24,7 @@ TEXTS += ["".join(_R.choice(" \n\tabA1's.é_İ   ß-ñ“”") for _ in range(_R
 @pytest.mark.parametrize(("path", "splitter"), [(BYTE, BYTE_LEVEL), (WORD, SPACED)])
 def test_word_table_equals_tokenizer(path, splitter, monkeypatch):
     monkeypatch.setattr("quillmark.llm.tokens.TABLE_WORDS", 300)
-    table = WordTable(path, splitter, lambda x: x.tolist())
+    table = WordTable(path, splitter, list)
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
     assert [[i for p in parts for i in p] for parts in table.parts(TEXTS)] == want
 
