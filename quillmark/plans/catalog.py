@@ -56,7 +56,7 @@ def md_blocks(spark, sf_dir):
 
 
 @query(f"""WITH {_BLOCKS_SQL}
-SELECT document_id, count(*) AS block_count, sum(length(text)) AS rendered_text_chars,
+SELECT document_id, count(*) AS block_count, sum(length(text))::BIGINT AS rendered_text_chars,
        CASE WHEN sum(length(text)) + 40 * count(*) >= 4000 THEN 'LARGE_DOCUMENT' ELSE '' END
        || CASE WHEN sum(length(text)) + 40 * count(*) >= 16000 THEN ',VERY_LARGE_DOCUMENT' ELSE '' END AS flags FROM b GROUP BY ALL""")
 def doc_profile_flags(spark, sf_dir):
@@ -86,7 +86,7 @@ def render_markdown(spark, sf_dir):
 
 @query(f"""WITH {_BLOCKS_SQL},
 r AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY "order" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
-SELECT document_id, floor(before / 2000)::INTEGER AS bin, count(*) AS blocks, sum(length(text)) AS content_chars,
+SELECT document_id, floor(before / 2000)::INTEGER AS bin, count(*) AS blocks, sum(length(text))::BIGINT AS content_chars,
        min('blk_' || lpad("order"::VARCHAR, 4, '0')) AS first_block_id, greatest(1, ceil(sum(length(text)) / 4))::BIGINT AS estimated_tokens
 FROM r GROUP BY document_id, floor(before / 2000)""")
 def chunk_bins(spark, sf_dir):
@@ -138,7 +138,7 @@ def quote_overlapping_ranges(spark, sf_dir):
 
 @query(f"""WITH {_RANGES_SQL}
 SELECT d.lang, count(DISTINCT d.doc_id) AS documents, count(DISTINCT CASE WHEN r IS NOT NULL THEN d.doc_id END) AS grounded,
-       count(r) AS quotes, count(CASE WHEN len(r) > 1 THEN 1 END) AS ambiguous, coalesce(sum(CASE WHEN r IS NOT NULL THEN 1.0 END), 0.0) AS score
+       count(r) AS quotes, count(CASE WHEN len(r) > 1 THEN 1 END) AS ambiguous, coalesce(sum(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE END), 0.0::DOUBLE) AS score
 FROM documents d LEFT JOIN ranges USING (doc_id) GROUP BY d.lang""")
 def grounding_status(spark, sf_dir):
     """Per language: documents, those that quote a benchmark passage, and how."""
@@ -451,7 +451,7 @@ def eval_prf(spark, sf_dir):
 
 
 @query(f"""WITH {_PRF_SQL}, v AS (SELECT avg(precision) AS precision, avg(recall) AS recall, max(f1) AS f1 FROM p)
-SELECT t.name, t.lim AS "limit", t.value, coalesce(CASE WHEN ends_with(t.name, '_min') THEN t.value >= t.lim ELSE t.value <= t.lim END, false) AS passed FROM (
+SELECT t.name, t.lim::DOUBLE AS "limit", t.value, coalesce(CASE WHEN ends_with(t.name, '_min') THEN t.value >= t.lim ELSE t.value <= t.lim END, false) AS passed FROM (
 SELECT 'precision_min' AS name, 0.5 AS lim, precision AS value FROM v UNION ALL SELECT 'recall_min', 0.9, recall FROM v UNION ALL SELECT 'f1_max', 0.99, f1 FROM v
 UNION ALL SELECT 'unknown_min', 0.1, NULL) t""")
 def threshold_gate(spark, sf_dir):
@@ -614,7 +614,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(w).cast("long"))
 
 
-@query("""SELECT l_orderkey, line, sum(length(t) + 3) OVER (PARTITION BY l_orderkey ORDER BY line) - length(t) - 3 AS start, sum(length(t) + 3) OVER (PARTITION BY l_orderkey ORDER BY line) - 3 AS "end"
+@query("""SELECT l_orderkey, line, (sum(length(t) + 3) OVER (PARTITION BY l_orderkey ORDER BY line) - length(t) - 3)::BIGINT AS start, (sum(length(t) + 3) OVER (PARTITION BY l_orderkey ORDER BY line) - 3)::BIGINT AS "end"
 FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, l_returnflag || '\\|' || l_linestatus || '\\n' || l_partkey AS t FROM lineitem)""")
 def cell_text_offsets(spark, sf_dir):
     raw = F.concat("l_returnflag", F.lit("|"), "l_linestatus", F.lit("\r\n"), F.col("l_partkey").cast("string"))
@@ -908,7 +908,7 @@ def tool_rules(spark, sf_dir):
     return o.select("o_orderkey", agent.tool_violation(tool, F.array(F.lit("run_requirement_extraction")), mode, F.array(F.lit("auto")), price, F.col("o_custkey") % 6).alias("violation"))
 
 
-@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS calls, count(CASE WHEN o_totalprice > 200000 THEN 1 END) AS failed_calls, sum(o_orderkey) AS seconds, CASE WHEN count(tok) = count(*) THEN sum(tok) END AS tokens
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS calls, count(CASE WHEN o_totalprice > 200000 THEN 1 END) AS failed_calls, sum(o_orderkey)::BIGINT AS seconds, CASE WHEN count(tok) = count(*) THEN sum(tok)::BIGINT END AS tokens
 FROM (SELECT *, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_custkey END AS tok FROM orders) GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
 def usage_rollup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("tokens", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey")))
