@@ -93,4 +93,4 @@ def test_run_is_the_stages(spark, stages):
     *_, found, folder = stages
     got = pipe.run(spark, folder).select("doc_id", "piece", "length").collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.piece, r.length) for r in found[-1])
-    assert __spark_entry__.queries()["pipeline"] is pipe.run and "pipeline" not in __spark_entry__.oracle_sql()
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is pipe.run and "pipeline" not in __spark_entry__.oracle_sql()
