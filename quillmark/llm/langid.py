@@ -18,8 +18,12 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Lengths of the subwords taken from ``<word>``; the whole word counts as well.
 LENGTHS = (2, 3, 4)
-#: Labelled rows that are fitted for each language at most.
-ROWS_PER_LANGUAGE = 1000
+#: Labelled rows that are fitted for each language and in all at most, and languages, the most
+#: frequent ones first.
+ROWS_PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 1000, 8000, 256
+#: Times as many hashes pass the threshold, on average, as are wanted; fewer than wanted is as good
+#: as impossible, and would only make the sample smaller.
+OVERSAMPLED = 4
 #: Words remembered by a task at most, and their letters; then it starts anew.
 CACHE_WORDS, CACHE_LETTERS = 200_000, 8_000_000
 #: Letters of texts that are judged together.
@@ -163,16 +167,22 @@ def fit(
 ) -> LanguageModel:
     """Fit on the ``rows_per_language`` rows of each language that come first by the hash of ``order``.
 
-    That bound is what reaches the driver: bucket counts of so many whole texts. Rows with a null
+    No more than `MAX_ROWS` in all and `MAX_LANGUAGES` languages are fitted: bucket counts of so many
+    whole texts reach the driver. Rows with a null
     label or text, or without a letter, are not used. A quarter of the rows is kept from the fit
     and sets the temperature and the score below which a text is rejected.
     """
     rows = labelled.select(F.col(label).alias("l"), F.xxhash64(order, text).alias("h"), F.col(text).alias("t")).where(
         r"l IS NOT NULL AND t RLIKE '\\p{L}'"
     )
-    # languages and hashes only are ranked; each task passes on its first rows of each language
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
+    wanted = max(1, min(rows_per_language, MAX_ROWS // max(1, len(sizes))))
+    # Few hashes of each language pass a threshold from its count; they alone are ranked, so the
+    # rows that meet in a task are about as many as are wanted, however many a language has.
+    shares = labelled.sparkSession.createDataFrame([(r["l"], min(1.0, OVERSAMPLED * wanted / r["n"])) for r in sizes], "l string, share double")
+    passing = rows.select("l", "h").join(F.broadcast(shares), "l").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     ranked = Window.partitionBy("l").orderBy("h")
-    chosen = rows.select("l", "h").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= rows_per_language)
+    chosen = passing.select("l", "h").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= wanted)
     sample = rows.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
     table = sample.select("l", "t").mapInArrow(_counted, "label string, used array<int>, counts array<int>").toArrow()
     labels = table.column("label").to_pylist()
