@@ -31,7 +31,7 @@ def merge_candidates(candidates: DataFrame, keys: list[str], order: list[Column]
     known = {f: F.array_sort(F.collect_set(concrete(F.col(f)))) for f in fields}
     grouped = candidates.groupBy(*keys).agg(
         F.min(head).alias("first"), F.count("*").alias("variants"), F.max("confidence").alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
         F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"),
         *[values.alias(f"k_{f}") for f, values in known.items()],
     )
