@@ -67,8 +67,24 @@ def normalize_with_ranges(text: str) -> tuple[str, list[Range]]:
     return joined[left:right], ranges[left:right]
 
 
+class _Forms(dict):
+    """Each character's compatibility form with ASCII punctuation, worked out once."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = unicodedata.normalize("NFKC", chr(code)).translate(_PUNCTUATION)
+        return self[code]
+
+
+_FORMS = _Forms()
+
+
 def normalize_text(text: str) -> str:
-    return normalize_with_ranges(text)[0]
+    """The text of `normalize_with_ranges`; without combining marks each character stands for itself."""
+    if not text.isascii():
+        if any(map(unicodedata.combining, set(text))):
+            return normalize_with_ranges(text)[0]
+        text = text.translate(_FORMS)
+    return _GAPS.sub(lambda gap: "|" if "|" in gap[0] else " ", text).strip(" ")
 
 
 def occurrences(text: str, quote: str) -> Iterator[int]:
@@ -84,9 +100,9 @@ def match_quote(text: str | None, quote: str | None) -> tuple[str, str, list[Ran
     if text is None or quote is None:
         return "NO_MATCH", "none", [], 0.0
     found, basis, score = [(at, at + len(quote)) for at in occurrences(text, quote)], "exact", EXACT_SCORE
-    if not found:
+    wanted = "" if found else normalize_text(quote)
+    if wanted and wanted in normalize_text(text):
         plain, origin = normalize_with_ranges(text)
-        wanted = normalize_text(quote)
         spans = [origin[at : at + len(wanted)] for at in occurrences(plain, wanted)]
         found = sorted({(min(a for a, _ in s), max(b for _, b in s)) for s in spans})
         basis, score = "normalized", NORMALIZED_SCORE

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from quillmark.functions import geometry, rates, text
 from quillmark.operators import agent, chunking, evaluate, evidence, export, items, layout, merge, migrate, quotes, reading, review, tables, validate
 from quillmark.sources import artifacts, blocks
+from quillmark.sources.tables import read_table as table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,10 +32,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Documents as blocks ---------------------------------------------------------------------------
 
 _BLOCKS_SQL = r"""
@@ -465,7 +462,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems as sources: candidates are odd lines, gold even ones, of one supplier in a group."""
     li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
     rows = li.select(
-        (F.col("l_suppkey") % 50).cast("string").alias("group_id"), (F.col("l_partkey") % 20).cast("string").alias("block_id"),
+        F.col("l_suppkey").cast("string").alias("group_id"), (F.col("l_partkey") % 20).cast("string").alias("block_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_quantity").cast("int").cast("string").alias("quote"), (F.col("l_linenumber") % 3).alias("source_index"), "l_linenumber",
     )
     c = rows.where("l_linenumber % 2 = 1").withColumnRenamed("id", "candidate_id")
@@ -474,7 +471,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EDGES_SQL = """
-r AS (SELECT (l_suppkey % 50)::VARCHAR AS group_id, (l_partkey % 20)::VARCHAR AS block_id, l_orderkey || '-' || l_linenumber AS id, l_quantity::INTEGER::VARCHAR AS quote, l_linenumber % 3 AS si, l_linenumber
+r AS (SELECT l_suppkey::VARCHAR AS group_id, (l_partkey % 20)::VARCHAR AS block_id, l_orderkey || '-' || l_linenumber AS id, l_quantity::INTEGER::VARCHAR AS quote, l_linenumber % 3 AS si, l_linenumber
   FROM lineitem WHERE l_orderkey % 4 = 0),
 e AS (SELECT c.group_id, c.id AS candidate_id, g.id AS gold_id, max(CASE WHEN c.quote = g.quote THEN 20 ELSE 10 END + 9 - c.si) AS quality
   FROM r c JOIN r g ON c.group_id = g.group_id AND c.block_id = g.block_id AND (contains(c.quote, g.quote) OR contains(g.quote, c.quote))
