@@ -175,6 +175,16 @@ def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sources, own
 
 
+@query(f"""WITH {_BLOCKS_SQL}, f AS (SELECT document_id::VARCHAR || '-blk_0001-' AS k, text AS t, length(text) - length(ltrim(text)) AS a, length(rtrim(text)) AS e, contains(text, ' ') AS s FROM b WHERE "order" = 1)
+SELECT k || 'as_is' AS source_key, 'UNIQUE_MATCH' AS status, 'exact' AS basis, 1.0::DOUBLE AS score, 0 AS start, length(t)::INTEGER AS "end" FROM f UNION ALL
+SELECT k || 'spaced', 'UNIQUE_MATCH', CASE WHEN s THEN 'normalized' ELSE 'exact' END, CASE WHEN s THEN 0.95 ELSE 1.0 END::DOUBLE, a::INTEGER, e::INTEGER FROM f""")
+def quote_normalized_ranges(spark, sf_dir):
+    """First lines cited as they are and with other spaces: the ranges are those of the original."""
+    sources, own = cited(spark, sf_dir)
+    found = quotes.match_registry(sources.where("kind <> 'changed'"), own)
+    return found.select("source_key", "status", "basis", "score", F.col("selected.start").alias("start"), F.col("selected.end").alias("end"))
+
+
 @query()
 def quote_registry(spark, sf_dir):
     """Exact, normalised and fuzzy matches of cited first lines, each source matched once."""
@@ -184,7 +194,10 @@ def quote_registry(spark, sf_dir):
     return found.select("source_key", "status", "basis", "score", F.col("selected.start").alias("start"), F.col("selected.end").alias("end"), status.alias("grounding"))
 
 
-@query()
+_NORMAL = r"""trim(regexp_replace(regexp_replace(translate(text, '，。：；（）！？、“”‘’', ',.:;()!?,""'''''), '\s*\|\s*', '|', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(f"""WITH {_BLOCKS_SQL} SELECT document_id, 'blk_' || CASE WHEN "order" < 10000 THEN lpad("order"::VARCHAR, 4, '0') ELSE "order"::VARCHAR END AS block_id, {_NORMAL} AS normalized FROM b""")
 def quote_normalized(spark, sf_dir):
     return doc_blocks(spark, sf_dir).select("document_id", "block_id", text.normalized("text").alias("normalized"))
 
@@ -663,18 +676,20 @@ def index_mismatches(spark, sf_dir):
     return evidence.index_mismatches(index, docs.select("document_id", "block_id", "text", F.lit(None).cast("int").alias("page")))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem), m AS (SELECT l_orderkey, line, max(line) OVER (PARTITION BY l_orderkey) AS n FROM l)
+SELECT l_orderkey || '-' || line AS source_key, CASE WHEN line = 2 AND n > 2 THEN 'CROSSES_TABLE_ROWS' END AS error, CASE WHEN line = 1 OR n = 2 THEN 1 END AS row_index, CASE WHEN line = 1 OR n = 2 THEN 'cell_' || line END AS cell_ids, CASE WHEN line = 1 OR n = 2 THEN 1 END AS page
+FROM m WHERE line < 3""")
 def table_row_locators(spark, sf_dir):
     """Ranges in serialised rows, derived to the row and cells that they lie in."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    rows = li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("b").alias("block_id"), "l_linenumber", F.col("l_partkey").cast("string").alias("text"))
-    placed = evidence.row_offsets(rows, ["document_id", "block_id"], ["l_linenumber"])
-    y = F.ceil(F.col("l_linenumber") / 2)
+    li = numbered_lines(spark, sf_dir).where("line <= 4")
+    rows = li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("b").alias("block_id"), "line", F.col("l_partkey").cast("string").alias("text"))
+    placed = evidence.row_offsets(rows, ["document_id", "block_id"], ["line"])
+    y = F.ceil(F.col("line") / 2)
     occ = placed.select(
-        "document_id", "block_id", "start", "end", F.concat(F.lit("cell_"), "l_linenumber").alias("cell_id"), y.cast("int").alias("row_index"), F.col("l_linenumber").alias("column_index"), F.lit(1).alias("page"),
+        "document_id", "block_id", "start", "end", F.concat(F.lit("cell_"), F.col("line").cast("string")).alias("cell_id"), y.cast("int").alias("row_index"), F.col("line").alias("column_index"), F.lit(1).alias("page"),
         geometry.box(F.col("start").cast("double"), y.cast("double"), F.col("end").cast("double"), y + 1.0, F.lit("page")).alias("box"),
     )
-    wanted = placed.where("l_linenumber in (1, 2)").select(F.concat_ws("-", "document_id", "l_linenumber").alias("source_key"), "document_id", "block_id", "start", (F.col("end") + 4 * (F.col("l_linenumber") - 1)).alias("end"))
+    wanted = placed.where("line in (1, 2)").select(F.concat_ws("-", "document_id", "line").alias("source_key"), "document_id", "block_id", "start", (F.col("end") + 4 * (F.col("line") - 1)).alias("end"))
     return evidence.table_rows(wanted, occ).select("source_key", "error", "row_index", F.array_join("cell_ids", ",").alias("cell_ids"), "page")
 
 
@@ -847,7 +862,14 @@ def review_fold(spark, sf_dir):
     return review.fold_reviews(review_actions(spark, sf_dir), "user_id", ["event_id"]).drop("log")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT user_id, event_id, event_type AS t, event_id % 3 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, 0::BIGINT AS n, 'pending' AS st, '' AS before, 0 AS rev, '' AS action, false AS ok FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+SELECT user_id, n, CASE WHEN good THEN nxt ELSE st END, st, rev + good::INTEGER, action, good FROM (SELECT s.user_id, a.n, s.st, s.rev,
+ CASE t WHEN 'click' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'restore' WHEN 'view' THEN 'request_recheck' ELSE 'edit' END AS action,
+ CASE t WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'needs_recheck' ELSE CASE WHEN f = 0 THEN 'needs_recheck' ELSE s.st END END AS nxt,
+ (t = 'click' AND s.st IN ('pending', 'needs_recheck')) OR (t = 'error' AND s.st <> 'rejected') OR (t = 'signup' AND s.st = 'rejected') OR t = 'view' OR (t = 'purchase' AND f < 2) AS good
+ FROM s JOIN a ON a.user_id = s.user_id AND a.n = s.n + 1))
+SELECT user_id, rev AS revision, action, before, st AS after FROM s WHERE ok""")
 def review_log(spark, sf_dir):
     return review.review_log(review.fold_reviews(review_actions(spark, sf_dir), "user_id", ["event_id"]), "user_id")
 
