@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The folder of this application's stage tables."""
+    return f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}"
+
+
+def drop_stage_tables(spark: SparkSession) -> bool:
+    """Delete this application's stage tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -35,7 +46,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     one copy of its rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

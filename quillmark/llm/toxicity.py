@@ -225,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "t")
+    # an id that many rows repeat counts once, with the smallest of its texts
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("t").alias("t"))
     table = sample.mapInArrow(_sampled, "id long, toxic int, features array<int>").toArrow().sort_by("id")
     rows = list_rows(table.column("features"))
     toxic = table.column("toxic").to_numpy() > 0

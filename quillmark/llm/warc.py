@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -266,5 +267,8 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_folder(pages: DataFrame) -> str:
-    """A new folder for bundles in the shared folder."""
-    return f"{shared_dir(pages.sparkSession)}/warc/{uuid.uuid4().hex}"
+    """A new folder for bundles in the shared folder, with the scheme that Spark reads it by."""
+    spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
+    named = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", named)
