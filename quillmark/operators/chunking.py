@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators.agent import sanitized
 from quillmark.schemas import CHUNKS
 
 #: Digits of a chunk's number and count in a prompt.
@@ -189,3 +190,8 @@ def section_runs(blocks: DataFrame) -> DataFrame:
     return runs.groupBy("document_id", "run").agg(F.first("section_path").alias("section_path"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+
+
+def request_fingerprint(adapter: Column, endpoint: Column, body: Column) -> Column:
+    """Digest of a request: its adapter, endpoint and body, a flat JSON object, without secrets."""
+    return F.sha2(F.to_json(F.struct(adapter.alias("adapter"), sanitized(body).alias("body"), endpoint.alias("endpoint"))), 256)

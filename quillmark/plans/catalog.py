@@ -997,6 +997,36 @@ def requirement_defaults(spark, sf_dir):
     return items.normalized_requirements(docs)
 
 
+@query("""SELECT event_id, sha256('{"adapter":"' || event_type || '","body":"{\\"k\\":\\"' || json_extract_string(props, '$.k') || '\\"}","endpoint":"e"}') AS fingerprint FROM events""")
+def request_fingerprints(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    dirty = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "Authorization": "x"}'))
+    return e.select("event_id", chunking.request_fingerprint(F.col("event_type"), F.lit("e"), dirty).alias("fingerprint"))
+
+
+@query(f"WITH {_RANGES_SQL} SELECT doc_id, item_id FROM pairs WHERE item_id % 3 = 0")
+def source_key_mismatches(spark, sf_dir):
+    none = F.expr("cast(array() as array<string>)")
+    key = text.source_key(F.lit("f"), F.col("doc_id").cast("string"), F.lit("blk_0001"), F.col("quote"), none, F.lit(None).cast("int"))
+    stated = F.when(F.col("item_id") % 6 == 0, "src_0").when(F.col("item_id") % 3 != 0, key)
+    return quotes.key_mismatches(quoted(spark, sf_dir).withColumn("source_key", stated), key).select("doc_id", "item_id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'table_cell' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN ',' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN 'text_range' ELSE '' END AS missing,
+CASE WHEN o_orderkey % 5 = 0 THEN 'page_region' ELSE '' END AS forbidden, o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS passed FROM orders""")
+def capability_observations(spark, sf_dir):
+    k = F.col("o_orderkey")
+    held = F.array_compact(F.array(F.when(k % 2 != 0, "text_range"), F.when(k % 3 != 0, "table_cell"), F.when(k % 5 == 0, "page_region")))
+    found = evaluate.capability_observation(F.array(F.lit("text_range"), F.lit("table_cell")), F.array(F.lit("page_region")), held)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found["missing"], ",").alias("missing"), F.array_join(found["forbidden"], ",").alias("forbidden"), found["passed"].alias("passed"))
+
+
+@query("SELECT o_orderkey, least(2.0::DOUBLE, 2000.0::DOUBLE / (o_custkey + 500), 2000.0::DOUBLE / (o_orderkey % 3000 + 1)) AS scale FROM orders")
+def preview_scales(spark, sf_dir):
+    scale = geometry.preview_scale(F.col("o_custkey") + 500, F.col("o_orderkey") % 3000 + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", scale.alias("scale"))
+
+
 # Export, search and migration ------------------------------------------------------------------
 
 
