@@ -94,14 +94,13 @@ def scan(
     value is a widely copied example. Base spans are always returned, ``owned`` ones only if live.
 
     Null text counts as empty; a null owner or repository is one owner or repository of its own.
-    Repeated rows each get their row. Columns named spans or row in ``keep`` are replaced.
+    Repeated rows each get their row. A column named spans in ``keep`` is replaced.
     Counting sums by (value, owner, repository) first, so a value that a third of all rows hold
     never meets in one task; the join back by value is between two written tables, whose
     skewed partitions Spark splits.
     """
-    kept = [c for c in keep if c not in ("row", "spans")]
     found = docs.select(
-        *kept,
+        F.struct(*[c for c in keep if c != "spans"]).alias("kept"),
         F.monotonically_increasing_id().alias("row"),
         F.struct(F.col(owner).alias("o")).alias("__owner"),
         F.struct(F.col(repository).alias("r")).alias("__repository"),
@@ -129,9 +128,9 @@ def scan(
     told = stage_table(told, "told")
     shape = dict(told.dtypes)["told"]
     nothing = F.expr(f"cast(array() as {shape})")
-    with_spans = spotted.select(*kept, "row").join(told, "row", "left")
-    without = found.where(F.size("spans") == 0).select(*kept, nothing.alias("spans"))
-    return with_spans.select(*kept, F.coalesce("told", nothing).alias("spans")).unionByName(without)
+    with_spans = spotted.select("kept", "row").join(told, "row", "left").select("kept", F.coalesce("told", nothing).alias("spans"))
+    without = found.where(F.size("spans") == 0).select("kept", nothing.alias("spans"))
+    return with_spans.unionByName(without).select("kept.*", "spans")
 
 
 def span_list(spans: Column, names: tuple[str, ...]) -> Column:
