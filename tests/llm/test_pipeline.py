@@ -94,3 +94,14 @@ def test_run_is_the_stages(spark, stages):
     got = pipe.run(spark, folder).select("doc_id", "piece", "length").collect()
     assert sorted(map(tuple, got)) == sorted((r.doc_id, r.piece, r.length) for r in found[-1])
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is pipe.run and "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_columns_with_any_names_survive(spark):
+    extra = ("told", "row", "spans", "doc", "changed", "live", "fp", "id", "component", "kept")
+    rows = [(1, "token = abcdefgh1 end", "aa", "s", 5, *["x"] * len(extra)), (1, "token = abcdefgh1 end", "aa", "s", 5, *["x"] * len(extra)), (None, None, None, None, None, *[None] * len(extra)), (2, "", "aa", "s", 0, *["y"] * len(extra))]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in extra))
+    clean = pipe.redact_secrets(spark, docs, "")
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted([(*r[:1], "[SECRET] end", *r[2:4], 12, *r[5:]) if r[0] == 1 else r for r in rows], key=repr)
+    one = pipe.drop_near_duplicates(spark, docs, "")
+    assert one.columns == docs.columns and sorted(map(tuple, one.collect()), key=repr) == sorted([rows[0], rows[3]], key=repr)
