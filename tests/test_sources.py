@@ -142,3 +142,15 @@ def test_chunk_rows(spark):
     got = chunking.plan_chunks(df, chunking.Config("force", 900, 1)).collect()
     assert sorted(x for r in got if r.document_id == "d" for x in r.new_block_ids) == [b.block_id for b in held(30)]
     assert [r.chunk_id for r in got if r.document_id == "e"] == ["chk_00000001"] and len({r.chunk_fingerprint for r in got}) == len(got)
+
+
+def test_texts_are_spread_over_all_cores(spark, tmp_path):
+    from quillmark.sources.tables import read_table
+
+    for name in ("documents", "region"):
+        spark.range(20).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    assert read_table(spark, str(tmp_path), "documents").rdd.getNumPartitions() == cores
+    assert read_table(spark, str(tmp_path), "region").rdd.getNumPartitions() == 1
+    spark.range(0, 100, 1, cores + 3).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.id for r in read_table(spark, str(tmp_path), "pages").collect()) == list(range(100))
