@@ -45,7 +45,8 @@ def _least_neighbour(edges: DataFrame, by: str, other: str) -> DataFrame:
     least = edges.groupBy(by).agg(F.min(other).alias("least"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    return salted.join(least, [by, "salt"]).drop("salt")
+    # the salted side is many times what its files suggest, so it must not be broadcast on their size
+    return salted.join(least.hint("merge"), [by, "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
