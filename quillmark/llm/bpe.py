@@ -10,12 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.common import worker_cache
+from quillmark.llm.common import small_batches, worker_cache
 from quillmark.llm.tokens import BYTE_LEVEL, WordTable, byte_pieces
 
 
 def encode(path: str, text: str = "text") -> Column:
     """The ids (array<int>) of each whole text; null text counts as empty."""
+    small_batches()
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
@@ -54,6 +55,7 @@ def digests(path: str, text: str = "text") -> Column:
     """A struct (n_tokens, ids_sha256, decoded_sha256) for each whole text: the ids joined by
     commas, and the decoded text. The ids of each distinct word are joined and looked up in the
     table of pieces once, then joined back by position; null text counts as empty."""
+    small_batches()
 
     @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:

@@ -51,6 +51,22 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Bound the batches that the session's Python workers get to `BATCH_BYTES`, whatever the length
+    of the texts; a lower bound that is set already stays."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None:
+        held = str(spark.conf.get(_BATCH_SETTING, "64m")).lower().rstrip("b")
+        size = int(held.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(held[-1:], 1)
+        if size > BATCH_BYTES:
+            spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def utf8_rows(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The column's strings as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

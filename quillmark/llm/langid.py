@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import list_rows, worker_cache
+from quillmark.llm.common import list_rows, small_batches, worker_cache
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -172,6 +172,7 @@ def fit(
     label or text, or without a letter, are not used. A quarter of the rows is kept from the fit
     and sets the temperature and the score below which a text is rejected.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(label).alias("l"), F.xxhash64(order, text).alias("h"), F.col(text).alias("t")).where(
         r"l IS NOT NULL AND t RLIKE '\\p{L}'"
     )
@@ -251,6 +252,7 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray]], y
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
     """A struct (lang, score, accepted) for each whole text; `UNKNOWN` with score 0 if it has no letter."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import stage_table, worker_cache
+from quillmark.llm.common import small_batches, stage_table, worker_cache
 from quillmark.llm.tokens import SPACED, WordTable
 
 CAPACITY = 2048
@@ -250,6 +250,7 @@ def token_pieces(path: str, text: str = "text", end: int = 0, capacity: int = CA
     Only a text of more than ``capacity`` ids is cut, the last piece being the shorter one; null
     text counts as empty and so is one piece that holds ``end`` alone.
     """
+    small_batches()
     last = _little([end])
 
     @F.arrow_udf("array<struct<start: long, length: long, ids_crc32: long>>")

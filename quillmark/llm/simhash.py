@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import stage_table, utf8_rows, worker_cache
+from quillmark.llm.common import small_batches, stage_table, utf8_rows, worker_cache
 from quillmark.llm.components import connected_components, star_forest
 
 BITS = 64
@@ -58,6 +58,7 @@ def simhash(text: bytes | None, width: int = 3) -> int:
 
 def fingerprint(text: Column | str, width: int = 3) -> Column:
     """A column of fingerprints (long)."""
+    small_batches()
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from tokenizers import Tokenizer
 
 #: Words remembered by a worker at most; then its table starts anew.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 400_000
 #: Longer words are encoded but not remembered.
 LONGEST_WORD = 256
 #: Letters of texts whose words are looked up together.

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import list_rows, worker_cache
+from quillmark.llm.common import list_rows, small_batches, worker_cache
 
 #: Words are hashed into so many features; a feature is whether a text has it.
 FEATURES = 1 << 20
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     Null ids, labels or texts are not used; an id that is labelled twice counts as toxic if either
     label says so. Without both classes the model calls every text the one that it saw, or clean.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("toxic"))
         .dropna()
@@ -259,6 +260,7 @@ def predict(df: DataFrame, model: OrdinalModel, text: str = "text") -> Column:
     ``severity`` is the expected grade, the sum of P(grade >= k); ``p_toxic`` is P(grade >= 1).
     A null or empty text has no features and is judged by the cuts alone.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex
 

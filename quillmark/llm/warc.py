@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import shared_dir, stage_table, utf8_rows
+from quillmark.llm.common import shared_dir, small_batches, stage_table, utf8_rows
 
 #: Bytes of records in a frame, and of frames in a bundle, after which the next one begins.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
@@ -189,6 +189,7 @@ def write_archives(
     Payloads cross the one shuffle (by digest, in written tables, so that Spark splits a digest
     that many pages share) compressed.
     """
+    small_batches(pages.sparkSession)
     schema = "page_id long, url string, sha string, size long, packed binary"
     made = pages.select(F.col(page_id).cast("long"), F.col(url), F.col(html)).mapInArrow(_packed, schema)
     payload = F.coalesce(F.col(html), F.lit(""))

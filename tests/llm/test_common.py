@@ -55,3 +55,15 @@ def test_shipping_twice_is_harmless(spark):
     ship(spark)
     ship(spark)
     assert spark.range(1).rdd.map(lambda _: __import__("quillmark").__name__).collect() == ["quillmark"]
+
+
+def test_batches_are_bounded_unless_smaller(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, "67108864b")
+    try:
+        for held, want in (("64m", 8 << 20), ("1g", 8 << 20), ("67108864b", 8 << 20), ("4m", 4 << 20), (str(1 << 20), 1 << 20)):
+            spark.conf.set(name, held)
+            common.small_batches(spark)
+            assert spark.conf.get(name).rstrip("b") in (str(want), held)
+    finally:
+        spark.conf.set(name, before)
