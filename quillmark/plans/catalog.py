@@ -161,8 +161,8 @@ def source_keys(spark, sf_dir):
 
 
 def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sources that cite the first line of each document, as it is, with other spaces, or changed."""
-    own = doc_blocks(spark, sf_dir).where(F.col("order") == 1).withColumn("document_id", F.col("document_id").cast("string"))
+    """Sources that cite every line of each document, as it is, with other spaces, or changed."""
+    own = doc_blocks(spark, sf_dir).withColumn("document_id", F.col("document_id").cast("string"))
     key = F.concat_ws("-", "document_id", "block_id", "kind")
     kinds = F.explode(
         F.array(
@@ -179,15 +179,15 @@ def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SELECT k || 'as_is' AS source_key, 'UNIQUE_MATCH' AS status, 'exact' AS basis, 1.0::DOUBLE AS score, 0 AS start, length(t)::INTEGER AS "end" FROM f UNION ALL
 SELECT k || 'spaced', 'UNIQUE_MATCH', CASE WHEN s THEN 'normalized' ELSE 'exact' END, CASE WHEN s THEN 0.95 ELSE 1.0 END::DOUBLE, a::INTEGER, e::INTEGER FROM f""")
 def quote_normalized_ranges(spark, sf_dir):
-    """First lines cited as they are and with other spaces: the ranges are those of the original."""
+    """First lines, which the SQL reads, cited as they are and with other spaces: the ranges are those of the original."""
     sources, own = cited(spark, sf_dir)
-    found = quotes.match_registry(sources.where("kind <> 'changed'"), own)
+    found = quotes.match_registry(sources.where("kind <> 'changed' and block_id = 'blk_0001'"), own.where(F.col("order") == 1))
     return found.select("source_key", "status", "basis", "score", F.col("selected.start").alias("start"), F.col("selected.end").alias("end"))
 
 
 @query()
 def quote_registry(spark, sf_dir):
-    """Exact, normalised and fuzzy matches of cited first lines, each source matched once."""
+    """Exact, normalised and fuzzy matches of all cited lines, each source matched once."""
     sources, own = cited(spark, sf_dir)
     found = quotes.match_registry(sources, own)
     status = quotes.quote_status(F.col("status"), F.col("basis"), F.col("ranges"), F.col("score"), F.lit(True))

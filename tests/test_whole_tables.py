@@ -56,3 +56,17 @@ def test_assignment_covers_the_orders_not_divisible_by_four(spark):
     for group, pairs in got.items():
         assert len({c for c, _ in pairs}) == len({g for _, g in pairs}) == len(pairs) == most_pairs(want[group])
     assert any(int(c.split("-")[0]) % 4 for pairs in got.values() for c, _ in pairs)
+
+
+def test_registry_covers_every_line(spark):
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    blank = "".join(map(chr, [*range(9, 14), *range(28, 33)]))
+    lines = {f"{i}-blk_{n:04d}": x for i, t in texts for n, x in enumerate((x for x in (t or "").split("\n") if x.strip(blank)), 1)}
+    got = {r.source_key: r for r in QUERIES["quote_registry"](spark, SF).collect()}
+    assert got.keys() == {f"{k}-{kind}" for k in lines for kind in ("as_is", "spaced", "changed")}
+    assert any("blk_0002" in k for k in got)
+    for key, line in lines.items():
+        r = got[f"{key}-as_is"]
+        assert (r.status, r.basis, r.score, r.start, r.end, r.grounding) == ("UNIQUE_MATCH", "exact", 1.0, 0, len(line), "PASS_EXACT")
+        assert got[f"{key}-spaced"].grounding == ("PASS_NORMALIZED" if " " in line else "PASS_EXACT")
+        assert not got[f"{key}-changed"].grounding.startswith("PASS")
