@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json as json_text
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,7 @@ LARGE_PROMPT, VERY_LARGE_PROMPT = 4_000, 16_000
 CAPABILITIES = ("page_region", "table_cell", "text_range")
 MAX_WARNINGS, MAX_PARAMETERS, MAX_VALUE = 64, 8, 1_000_000
 MIN_PROMPT, MAX_PROMPT, MAX_OVERLAP = 1_000, 32_000, 3
+SECRET_KEYS = ("api_key", "authorization", "cookie", "credential", "password", "secret", "access_token")
 HUMAN_WARNINGS = ("ALL_CANDIDATES_QUARANTINED", "NO_REQUIREMENTS_FOUND", "PARTIAL_CHUNK_FAILURE")
 HUMAN_ERRORS = ("ALL_CHUNKS_FAILED", "NO_EXTRACTABLE_CONTENT", "NO_VALID_MODEL_ITEMS")
 
@@ -138,10 +142,46 @@ def paired_modes(runs: DataFrame, case: str, mode: str, value: str, modes: tuple
     return wide.where(a.isNotNull() & b.isNotNull()).withColumn("ratio", F.when(a != 0, b / a))
 
 
+class _Number(str):  # str(x) of one is a plain string
+    """A JSON number as it was written."""
+
+
+def _without_secrets(value):
+    if isinstance(value, dict):
+        return {k: _without_secrets(v) for k, v in value.items() if not any(x in k.strip().lower().replace("-", "_") for x in SECRET_KEYS)}
+    return [_without_secrets(v) for v in value] if isinstance(value, list) else value
+
+
+def _shown(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_shown(k)}:{_shown(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_shown, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json_text.dumps(value, ensure_ascii=False)
+
+
+def _sanitized_text(text: str | None) -> str | None:
+    try:
+        value = _without_secrets(json_text.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number)) if text is not None else None
+    except ValueError:
+        return None
+    if isinstance(value, dict):
+        value = {k: str(v) if isinstance(v, _Number) else _shown(v) if isinstance(v, bool) else v for k, v in value.items()}
+    return _shown(value) if isinstance(value, (dict, list)) else None
+
+
 def sanitized(json: Column) -> Column:
-    """A flat JSON object without keys that name a secret."""
-    hidden = "(?i)(api_key|authorization|cookie|credential|password|secret|access_token)"
-    return F.to_json(F.map_filter(F.from_json(json, "map<string, string>"), lambda k, _: ~k.rlike(hidden)))
+    """A JSON object or list without keys that name a secret, at any depth; '-' in a key counts as '_'.
+
+    Numbers and booleans of the outermost object are given as text, nested values as they are. What
+    is no JSON object or list gives null.
+    """
+
+    @F.arrow_udf("string")
+    def of(values: pa.Array) -> pa.Array:
+        return pa.array([_sanitized_text(v) for v in values.to_pylist()], pa.string())
+
+    return of(json)
 
 
 def inspection_facts(counts: dict[str, Column], chunk_warnings: Column, base: Column, zero_reason: Column) -> dict[str, Column]:

@@ -193,5 +193,5 @@ def section_runs(blocks: DataFrame) -> DataFrame:
 
 
 def request_fingerprint(adapter: Column, endpoint: Column, body: Column) -> Column:
-    """Digest of a request: its adapter, endpoint and body, a flat JSON object, without secrets."""
+    """Digest of a request: its adapter, endpoint and body, a JSON object, without secrets at any depth."""
     return F.sha2(F.to_json(F.struct(adapter.alias("adapter"), sanitized(body).alias("body"), endpoint.alias("endpoint"))), 256)
