@@ -681,21 +681,27 @@ def index_mismatches(spark, sf_dir):
     return evidence.index_mismatches(index, docs.select("document_id", "block_id", "text", F.lit(None).cast("int").alias("page")))
 
 
-@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem), m AS (SELECT l_orderkey, line, max(line) OVER (PARTITION BY l_orderkey) AS n FROM l)
-SELECT l_orderkey || '-' || line AS source_key, CASE WHEN line = 2 AND n > 2 THEN 'CROSSES_TABLE_ROWS' END AS error, CASE WHEN line = 1 OR n = 2 THEN 1 END AS row_index, CASE WHEN line = 1 OR n = 2 THEN 'cell_' || line END AS cell_ids, CASE WHEN line = 1 OR n = 2 THEN 1 END AS page
-FROM m WHERE line < 3""")
-def table_row_locators(spark, sf_dir):
-    """Ranges in serialised rows, derived to the row and cells that they lie in."""
-    li = numbered_lines(spark, sf_dir).where("line <= 4")
-    rows = li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("b").alias("block_id"), "line", F.col("l_partkey").cast("string").alias("text"))
+def located_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A range for each line of every order, and all lines as cells, two in a row."""
+    rows = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit("b").alias("block_id"), "line", F.col("l_partkey").cast("string").alias("text"))
     placed = evidence.row_offsets(rows, ["document_id", "block_id"], ["line"])
     y = F.ceil(F.col("line") / 2)
     occ = placed.select(
         "document_id", "block_id", "start", "end", F.concat(F.lit("cell_"), F.col("line").cast("string")).alias("cell_id"), y.cast("int").alias("row_index"), F.col("line").alias("column_index"), F.lit(1).alias("page"),
         geometry.box(F.col("start").cast("double"), y.cast("double"), F.col("end").cast("double"), y + 1.0, F.lit("page")).alias("box"),
     )
-    wanted = placed.where("line in (1, 2)").select(F.concat_ws("-", "document_id", "line").alias("source_key"), "document_id", "block_id", "start", (F.col("end") + 4 * (F.col("line") - 1)).alias("end"))
-    return evidence.table_rows(wanted, occ).select("source_key", "error", "row_index", F.array_join("cell_ids", ",").alias("cell_ids"), "page")
+    wanted = placed.select(F.concat_ws("-", "document_id", "line").alias("source_key"), "line", "document_id", "block_id", "start", (F.col("end") + 4 * (F.col("line") - 1)).alias("end"))
+    return wanted, occ
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem), m AS (SELECT l_orderkey, line, max(line) OVER (PARTITION BY l_orderkey) AS n FROM l)
+SELECT l_orderkey || '-' || line AS source_key, CASE WHEN line = 2 AND n > 2 THEN 'CROSSES_TABLE_ROWS' END AS error, CASE WHEN line = 1 OR n = 2 THEN 1 END AS row_index, CASE WHEN line = 1 OR n = 2 THEN 'cell_' || line END AS cell_ids, CASE WHEN line = 1 OR n = 2 THEN 1 END AS page
+FROM m WHERE line < 3""")
+def table_row_locators(spark, sf_dir):
+    """Ranges in serialised rows, derived to the row and cells that they lie in; of lines 1 and 2, as in the SQL."""
+    wanted, occ = located_rows(spark, sf_dir)
+    found = evidence.table_rows(wanted.where("line in (1, 2)").drop("line"), occ)
+    return found.select("source_key", "error", "row_index", F.array_join("cell_ids", ",").alias("cell_ids"), "page")
 
 
 def logical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

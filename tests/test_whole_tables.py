@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from quillmark.plans.catalog import QUERIES
+from quillmark.operators import evidence
+from quillmark.plans.catalog import QUERIES, located_rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -70,3 +71,14 @@ def test_registry_covers_every_line(spark):
         assert (r.status, r.basis, r.score, r.start, r.end, r.grounding) == ("UNIQUE_MATCH", "exact", 1.0, 0, len(line), "PASS_EXACT")
         assert got[f"{key}-spaced"].grounding == ("PASS_NORMALIZED" if " " in line else "PASS_EXACT")
         assert not got[f"{key}-changed"].grounding.startswith("PASS")
+
+
+def test_every_line_is_a_cell_and_gets_a_locator(spark):
+    wanted, occ = located_rows(spark, SF)
+    counts = dict(duckdb.sql(f"SELECT l_orderkey, count(*) FROM '{SF}/lineitem.parquet' GROUP BY ALL").fetchall())
+    got = {r.source_key: r for r in evidence.table_rows(wanted.withColumn("end", wanted["start"] + 1), occ).collect()}
+    assert max(counts.values()) > 4 and got.keys() == {f"{o}-{n}" for o, k in counts.items() for n in range(1, k + 1)}
+    for o, k in counts.items():
+        for n in range(1, k + 1):
+            r = got[f"{o}-{n}"]
+            assert r.error is None and r.row_index == (n + 1) // 2 and r.cell_ids == [f"cell_{n}"]
