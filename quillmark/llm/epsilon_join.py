@@ -6,19 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import stage_table
 from quillmark.llm.components import connected_components, star_forest
-from quillmark.llm.vectors import cosines, matrix, norms, units, usable
+from quillmark.llm.vectors import component_type, cosines, matrix, norms, plain, units, usable
 
 #: Leading principal dimensions that order the rows and bound the blocks.
 LEADING = 12
 #: Rows of a segment of the sequence, and of an interval that is compared without another split.
 SEGMENT_ROWS, LEAF_ROWS = 1024, 64
+#: Consecutive segments that travel together when segments meet.
+TILE_SEGMENTS = 8
+#: Least width of the cells of the second dimension, under which segments meet.
+SECOND_CELL = 0.25
 #: Slack for rounding in the bounds; survivors are verified exactly.
 SLACK = 1e-6
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def principal_axes(rows: DataFrame, dimensions: int) -> np.ndarray:
@@ -51,28 +57,29 @@ def near_duplicates(
     included; ``kept`` says that it is the row's own. Repeated rows are rows: they link with each
     other. A null id has a null ``kept``, and its component's smallest id.
 
-    Equal vectors of a label are one point with a weight, so their links are counted, not listed.
-    Points are sorted by label and by the cells, as wide as the threshold's distance, that their
-    leading principal coordinates fall in, and cut into segments. Segments whose boxes are too
-    far apart in some leading dimension cannot hold a link and never meet; the others meet in
-    pairs, each pair in one task, where intervals are halved and skipped in the same way and
-    what is left is verified by cosine. A task gives link counts and a spanning forest.
+    Equal vectors of a label, told by 128 bits of hashes, are one point with a weight, so their links
+    are counted, not listed. Points are sorted by label and by the cells, as wide as the threshold's
+    distance, that their leading principal coordinates fall in, and cut into segments. Segments
+    whose boxes are too far apart in some leading dimension cannot hold a link and never meet; the
+    others meet in tiles, each pair in one task, where intervals are halved and skipped in the same
+    way and what is left is verified by cosine. A task gives link counts and a spanning forest.
+    ``df`` is read twice; columns besides these three are ignored.
     """
-    plain = F.transform(F.col(vector), lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)).cast("array<float>")
-    rows = stage_table(df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).alias("label"), plain.alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
-    joining = rows.where(usable(F.col("v")) & F.col("label").isNotNull())
-    points = joining.groupBy("label", "v").agg(F.min("row").alias("point"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
-    points = stage_table(points, "points")
-    linked = _linked_points(points, threshold, leading)
-    linked = stage_table(linked, "links")
+    kind = component_type((df, vector))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).alias("label"), plain(vector, kind).alias("v"))
+    joins = usable(F.col("v")) & F.col("label").isNotNull()
+    hashes = {"h": F.when(joins, F.xxhash64("v")), "g": F.when(joins, F.xxhash64(F.lit(1), "v"))}
+    rows, same = rows.withColumns(hashes), ["label", "h", "g"]
+    points = rows.where(F.col("h").isNotNull()).groupBy(*same).agg(F.first("v").alias("v"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    points = stage_table(points.withColumn("point", F.monotonically_increasing_id()), "points")
+    linked = stage_table(_linked_points(points, threshold, leading, kind), "links")
     counts = linked.groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
     labels = connected_components(linked.select("a", "b"))
-    named = points.select("point", "label", "v", "weight", "least").join(counts, "point", "left").join(labels.withColumnRenamed("node", "point"), "point", "left")
+    named = points.select("point", *same, "weight", "least").join(counts, "point", "left").join(labels.withColumnRenamed("node", "point"), "point", "left")
     named = stage_table(named.withColumn("component", F.coalesce("component", "point")), "named")
     smallest = stage_table(named.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    told = named.join(smallest, "component").select("label", "v", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    told = stage_table(told, "told")
-    out = rows.join(told, ["label", "v"], "left")
+    told = named.join(smallest, "component").select(*same, (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.select("vec_id", *same).join(stage_table(told, "told"), same, "left")
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -80,17 +87,17 @@ def near_duplicates(
     ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _linked_points(points: DataFrame, threshold: float, leading: int) -> DataFrame:
+def _linked_points(points: DataFrame, threshold: float, leading: int, kind: str) -> DataFrame:
     """(a, b, n): a's links in one pair of segments weigh n, and b is a point linked with a."""
     schema = "a long, b long, n long"
-    parts = [_linked_of_dimension(points, r["d"], threshold, leading) for r in points.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    parts = [_linked_of_dimension(points, r["d"], threshold, leading, kind) for r in points.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     out = points.sparkSession.createDataFrame([], schema)
     for part in parts:
         out = out.unionByName(part)
     return out
 
 
-def _linked_of_dimension(points: DataFrame, dimensions: int, threshold: float, leading: int) -> DataFrame:
+def _linked_of_dimension(points: DataFrame, dimensions: int, threshold: float, leading: int, kind: str) -> DataFrame:
     own = points.where(F.size("v") == dimensions)
     axes = principal_axes(own, dimensions)[: min(leading, dimensions)]
     # unit vectors with this cosine are so far apart
@@ -104,13 +111,16 @@ def _linked_of_dimension(points: DataFrame, dimensions: int, threshold: float, l
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c) for c in cell.T]], names=["label", "point", "weight", "v", *cells])
 
     kinds = dict(own.dtypes)
-    schema = f"label {kinds['label']}, point long, weight long, v array<float>, " + ", ".join(f"{c} int" for c in cells)
+    schema = f"label {kinds['label']}, point long, weight long, v array<{kind}>, " + ", ".join(f"{c} int" for c in cells)
     order = ["label", *cells, "point"]
     ordered = own.select("label", "point", "weight", "v").mapInArrow(placed, schema).repartitionByRange(*order).sortWithinPartitions(*order)
     width = len(axes)
+    stored = np.float32 if kind == "float" else np.float64
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Consecutive rows of one label, at most `SEGMENT_ROWS`, as one row with their bounds."""
+        tile = TaskContext.get().partitionId() << 32
+        made = 0
         for batch in batches:
             labels = batch.column(0).to_pylist()
             starts = [0] + [i for i in range(1, len(labels)) if labels[i] != labels[i - 1]] + [len(labels)]
@@ -123,53 +133,61 @@ def _linked_of_dimension(points: DataFrame, dimensions: int, threshold: float, l
                         [
                             pa.array([labels[at]], batch.column(0).type),
                             pa.array([part.column(1)[0].as_py()], pa.int64()),
+                            pa.array([tile + made // TILE_SEGMENTS], pa.int64()),
                             pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())),
                             pa.array([part.column(2).to_pylist()], pa.list_(pa.int64())),
-                            pa.array([x.astype(np.float32).tobytes()], pa.binary()),
+                            pa.array([x.astype(stored).tobytes()], pa.binary()),
                             pa.array([y.min(axis=0)], pa.list_(pa.float64())),
                             pa.array([y.max(axis=0)], pa.list_(pa.float64())),
                         ],
-                        names=["label", "segment", "points", "weights", "x", "low", "high"],
+                        names=["label", "segment", "tile", "points", "weights", "x", "low", "high"],
                     )
+                    made += 1
 
-    made = f"label {kinds['label']}, segment long, points array<long>, weights array<long>, x binary, low array<double>, high array<double>"
+    made = f"label {kinds['label']}, segment long, tile long, points array<long>, weights array<long>, x binary, low array<double>, high array<double>"
     segments = stage_table(ordered.mapInArrow(cut, made), "segments")
-    # Segments meet in the cells of the first dimension that both reach; the first such cell has the pair.
-    first, last = F.floor(F.element_at("low", 1) / epsilon), F.floor((F.element_at("high", 1) + epsilon) / epsilon)
-    boxes = segments.select("label", "segment", "low", "high", first.alias("from"), F.explode(F.sequence(first, last)).alias("cell"))
+    # Segments meet in the cells of the leading two dimensions that both reach; the first such cell has the pair.
+    sides = list(zip(range(1, width + 1), (epsilon, max(epsilon, SECOND_CELL))))
+    reach = lambda i, size: (F.floor(F.element_at("low", i) / size), F.floor((F.element_at("high", i) + epsilon) / size))
+    boxes = segments.select("label", "segment", "tile", "low", "high", *[reach(i, size)[0].alias(f"from{i}") for i, size in sides])
+    for i, size in sides:
+        boxes = boxes.withColumn(f"cell{i}", F.explode(F.sequence(*reach(i, size))))
     p, q = boxes.alias("p"), boxes.alias("q")
     near = F.forall(
         F.sequence(F.lit(1), F.lit(width)),
         lambda i: (F.element_at(F.col("p.low"), i) <= F.element_at(F.col("q.high"), i) + epsilon)
         & (F.element_at(F.col("q.low"), i) <= F.element_at(F.col("p.high"), i) + epsilon),
     )
-    pairs = p.join(
-        q,
-        (F.col("p.label") == F.col("q.label")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.segment") <= F.col("q.segment"))
-        & (F.col("p.cell") == F.greatest("p.from", "q.from")) & near,
-    ).select(F.col("p.segment").alias("left"), F.col("q.segment").alias("right"))
-    pairs = stage_table(pairs, "segment-pairs")
-    a = segments.select(F.col("segment").alias("left"), F.struct("points", "weights", "x").alias("s"))
-    b = segments.select(F.col("segment").alias("right"), F.struct("points", "weights", "x").alias("t"))
-    met = pairs.join(a, "left").join(b, "right").select("left", "right", "s", "t").repartition("left", "right")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                left, right = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                s, t = _Segment(batch.column(2)[row], dimensions, axes), _Segment(batch.column(3)[row], dimensions, axes)
-                yield from _join_segments(s, t, left == right, epsilon, threshold)
-
-    return met.mapInArrow(join, "a long, b long, n long")
+    meets = (F.col("p.label") == F.col("q.label")) & (F.col("p.segment") <= F.col("q.segment")) & near
+    for i, _ in sides:
+        meets &= (F.col(f"p.cell{i}") == F.col(f"q.cell{i}")) & (F.col(f"p.cell{i}") == F.greatest(f"p.from{i}", f"q.from{i}"))
+    tiles = F.least("p.tile", "q.tile").alias("i"), F.greatest("p.tile", "q.tile").alias("j")
+    wanted = p.join(q, meets).select(*tiles, F.explode(F.array("p.segment", "q.segment")).alias("segment")).distinct()
+    met = stage_table(wanted, "met").join(segments.select("segment", "tile", "points", "weights", "x"), "segment")
+
+    def join(table: pa.Table) -> pa.Table:
+        """All pairs of segments of the two tiles, of one tile each pair once."""
+        rows = table.sort_by("segment").to_batches()
+        held = [(b.column("tile")[k].as_py(), _Segment({c: b.column(c)[k] for c in ("points", "weights", "x")}, dimensions, axes, stored)) for b in rows for k in range(len(b))]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found = []
+        for m, (tile, s) in enumerate(held):
+            if tile == i:
+                for n, (other, t) in enumerate(held):
+                    if other == j and (i != j or m <= n):
+                        found += _join_segments(s, t, m == n, epsilon, threshold)
+        return pa.Table.from_batches(found, LINK)
+
+    return met.select("i", "j", "segment", "tile", "points", "weights", "x").groupBy("i", "j").applyInArrow(join, "a long, b long, n long")
 
 
 class _Segment:
     """The rows of a segment: points, weights, vectors and leading coordinates."""
 
-    def __init__(self, value: pa.StructScalar, dimensions: int, axes: np.ndarray):
+    def __init__(self, value: dict[str, pa.Scalar], dimensions: int, axes: np.ndarray, stored: type):
         self.points = value["points"].values.to_numpy()
         self.weights = value["weights"].values.to_numpy()
-        self.x = np.frombuffer(value["x"].as_py(), np.float32).reshape(-1, dimensions).astype(float)
+        self.x = np.frombuffer(value["x"].as_py(), stored).reshape(-1, dimensions).astype(float)
         self.unit = self.x / norms(self.x)[:, None]
         self.y = self.unit @ axes.T
 

@@ -18,9 +18,9 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Lengths of the subwords taken from ``<word>``; the whole word counts as well.
 LENGTHS = (2, 3, 4)
-#: Labelled rows that are fitted for each language and in all at most, and languages, the most
-#: frequent ones first.
-ROWS_PER_LANGUAGE, MAX_ROWS, MAX_LANGUAGES = 1000, 8000, 256
+#: Labelled rows that are fitted for each language, in all, and for each language whatever the sum;
+#: `fit` may be told other bounds. Every language is fitted, however many there are.
+ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 1000, 8000, 20
 #: Times as many hashes pass the threshold, on average, as are wanted; fewer than wanted is as good
 #: as impossible, and would only make the sample smaller.
 OVERSAMPLED = 4
@@ -152,43 +152,57 @@ class WordSums:
         return self.model.languages[best], min(1.0, float(p[best]))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each, or four where one needs them."""
+    return values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _unpacked(value: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(value, np.uint16 if len(value) == 2 * n else np.uint32)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             used, counts = bucket_counts(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label]), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))],
-                names=["label", "used", "counts"],
+                [pa.array([label]), pa.array([len(used)], pa.int32()), pa.array([_packed(used)], pa.binary()), pa.array([_packed(counts)], pa.binary())],
+                names=["label", "n", "used", "counts"],
             )
 
 
 def fit(
-    labelled: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = 6
-) -> LanguageModel:
+    labelled: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = 6,
+    max_rows: int = MAX_ROWS, least_rows: int = LEAST_ROWS,
+) -> LanguageModel:
     """Fit on the ``rows_per_language`` rows of each language that come first by the hash of ``order``.
 
-    No more than `MAX_ROWS` in all and `MAX_LANGUAGES` languages are fitted: bucket counts of so many
-    whole texts reach the driver. Rows with a null
-    label or text, or without a letter, are not used. A quarter of the rows is kept from the fit
-    and sets the temperature and the score below which a text is rejected.
+    Bucket counts of so many whole texts reach the driver. No more than ``max_rows`` are taken in
+    all, dealt evenly, but ``least_rows`` of each language at least; no language is left out. Rows
+    with a null label or text, or without a letter, are not used; repeated rows count once. A
+    quarter of the rows is kept from the fit and sets the temperature and the score below which a
+    text is rejected. Without rows every text is `UNKNOWN`.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(label).alias("l"), F.xxhash64(order, text).alias("h"), F.col(text).alias("t")).where(
         r"l IS NOT NULL AND t RLIKE '\\p{L}'"
     )
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    wanted = max(1, min(rows_per_language, MAX_ROWS // max(1, len(sizes))))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).collect()
+    wanted = max(1, min(rows_per_language, max(least_rows, max_rows // max(1, len(sizes)))))
     # Few hashes of each language pass a threshold from its count; they alone are ranked, so the
     # rows that meet in a task are about as many as are wanted, however many a language has.
     shares = labelled.sparkSession.createDataFrame([(r["l"], min(1.0, OVERSAMPLED * wanted / r["n"])) for r in sizes], "l string, share double")
-    passing = rows.select("l", "h").join(F.broadcast(shares), "l").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    passing = rows.select("l", "h").join(shares, "l").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     ranked = Window.partitionBy("l").orderBy("h")
     chosen = passing.select("l", "h").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= wanted)
     sample = rows.join(F.broadcast(chosen.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.first("t").alias("t"))
-    table = sample.select("l", "t").mapInArrow(_counted, "label string, used array<int>, counts array<int>").toArrow()
-    labels = table.column("label").to_pylist()
-    used, counts = list_rows(table.column("used")), list_rows(table.column("counts"))
-    return train(labels, used, counts, epochs)
+    table = sample.select("l", "t").mapInArrow(_counted, "label string, n int, used binary, counts binary").toArrow()
+    labels, n = table.column("label").to_pylist(), table.column("n").to_pylist()
+    used, counts = ([_unpacked(v, k) for v, k in zip(table.column(c).to_pylist(), n)] for c in ("used", "counts"))
+    del table
+    model = train(labels, used, counts, epochs)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def train(labels: list[str], used: list[np.ndarray], counts: list[np.ndarray], epochs: int = 6, batch: int = 64, rate: float = 0.5) -> LanguageModel:
@@ -196,9 +210,10 @@ def train(labels: list[str], used: list[np.ndarray], counts: list[np.ndarray], e
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
-    y = np.array([languages.index(x) for x in labels])
+    place = {x: i for i, x in enumerate(languages)}
+    y = np.array([place[x] for x in labels])
     # the order of the rows must not depend on how the tasks ended
-    key = [(labels[i], len(used[i]), counts[i].sum(), used[i][:8].tolist()) for i in range(len(labels))]
+    key = [(labels[i], len(used[i]), int(counts[i].sum()), used[i][:8].tolist()) for i in range(len(labels))]
     order = np.array(sorted(range(len(labels)), key=key.__getitem__))
     rng = np.random.default_rng(7)
     order = rng.permutation(order)
@@ -251,7 +266,11 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray]], y
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """A struct (lang, score, accepted) for each whole text; `UNKNOWN` with score 0 if it has no letter."""
+    """A struct (lang, score, accepted) for each whole text; `UNKNOWN` with score 0 if it is null or has no letter.
+
+    Equal texts, however often they are repeated, get equal values; an empty table gives no rows.
+    Only the column ``text`` is read, so other columns may have any names.
+    """
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     name = uuid.uuid4().hex

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.llm.common import stage_table
-from quillmark.llm.vectors import cosines, matrix, units, usable
+from quillmark.llm.vectors import component_type, cosines, matrix, plain, units, usable
 
 #: The share of the pivots that a permutation keeps, nearest first.
 PREFIX = 0.5
 #: The share of a shard's vectors that are ranked again by their cosine, and the least number.
-RERANKED, LEAST_RERANKED = 0.15, 256
-#: Vectors in a shard of the index, and queries in a block, at most about.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+RERANKED, LEAST_RERANKED = 0.2, 256
+#: Vectors in a shard of the index, and queries in a block, at most about. A shard's inverted files
+#: are made once for each block, so a block is as large as a task can hold.
+SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 SEED = 11
 
 
@@ -63,58 +64,55 @@ def search(
 ) -> DataFrame:
     """The ``k`` nearest rows of ``index`` found for each row of ``queries``, by cosine.
 
-    Returns query_id, rank (from 1), vec_id, score. Both frames have an id and a vector; a row is
-    no candidate for a query of the same id. Of rows with the same id the smallest vector counts;
-    rows without an id or usable vector take no part, nor do those whose number of dimensions is
-    not the most common one of the queries (at a tie the larger). Equal vectors are indexed once, with the k + 1
-    smallest of their ids, which is all that a result of k can show of them.
+    Returns query_id, rank (from 1), vec_id, score. Both frames have an id and a vector, and other
+    columns are ignored. Rows without an id or usable vector take no part; rows that agree in both
+    count once. A row is no candidate for a query of the same id, nor one of another length, which
+    has no cosine with it. Rows of one id with different vectors are queries, or candidates, each
+    for itself. Equal vectors are indexed once, with the k + 1 smallest of their ids, which is all that a result of k
+    can show of them. Empty frames give no rows.
 
     The index is dealt in shards and every block of queries visits every shard. There a query's
     permutation is held against the inverted files of its own pivots, the ``reranked`` share of the
     shard with the least footrule distance is ranked by exact cosine, and the k best go on; the
     best of all shards are the result. Ties go to the smaller id throughout.
     """
-    found = _tidy(queries, id_col, vector)
-    common = found.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return index.sparkSession.createDataFrame([], schema)
-    dimensions = common["d"]
-    asked = stage_table(found.where(F.size("v") == dimensions), "queries")
-    rows = _tidy(index, id_col, vector).where(F.size("v") == dimensions)
-    few = Window.partitionBy("v").orderBy("id")
-    kept = stage_table(rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1).drop("n"), "indexed")
-    n_rows, n_queries = kept.count(), asked.count()
-    shards, blocks = -(-n_rows // shard_rows), -(-n_queries // block_queries)
-    spread = kept.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(max(1, shards))).cast("int"))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
-    visits = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int"))
-    visits = visits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(1, shards) - 1))))
-
-    def visit(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = _search_shard(rows, asked, dimensions, k, reranked)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
+    kind = component_type((queries, vector), (index, vector))
+    own = Window.partitionBy("v").orderBy("id")
+    asked = _tidy(queries, id_col, vector, kind)
+    rows = _tidy(index, id_col, vector, kind).withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1).drop("n")
+    asked, kept = stage_table(asked, "queries"), stage_table(rows, "indexed")
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    by_length = asked.groupBy(F.size("v").alias("d")).agg(parts(F.count("*"), block_queries).alias("blocks"))
+    lengths = kept.groupBy(F.size("v").alias("d")).agg(parts(F.count("*"), shard_rows).alias("shards")).join(by_length, "d")
+    lengths = stage_table(lengths, "lengths")
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = kept.withColumn("d", F.size("v")).join(lengths, "d").withColumn("shard", dealt("v", "shards")).withColumn("block", every("blocks"))
+    visits = asked.withColumn("d", F.size("v")).join(lengths, "d").withColumn("block", dealt("id", "blocks")).withColumn("shard", every("shards"))
+
+    def visit(key: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out = _search_shard(rows, asked, key[0].as_py(), k, reranked)
+        return pa.table(dict(zip(("query_id", "query", "vec_id", "score"), map(pa.array, out))))
 
     near = (
-        spread.groupBy("shard", "block")
-        .cogroup(visits.groupBy("shard", "block"))
-        .applyInArrow(visit, "query_id long, vec_id long, score double")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        spread.select("d", "shard", "block", "id", "v").groupBy("d", "shard", "block")
+        .cogroup(visits.select("d", "shard", "block", "id", "v", F.xxhash64("v").alias("query")).groupBy("d", "shard", "block"))
+        .applyInArrow(visit, "query_id long, query long, vec_id long, score double")
+    )
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _tidy(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v): one vector per id, and negative zeros as zeros."""
-    plain = F.transform(F.col(vector), lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), plain.cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+def _tidy(df: DataFrame, id_col: str, vector: str, kind: str) -> DataFrame:
+    """(id, v): the different vectors of each id."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), plain(vector, kind).alias("v"))
+    return rows.where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
 
 
-def _search_shard(rows: pa.Table, asked: pa.Table, dimensions: int, k: int, reranked: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, cosine) of the k best candidates of each query in one shard."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+def _search_shard(rows: pa.Table, asked: pa.Table, dimensions: int, k: int, reranked: float) -> tuple[np.ndarray, ...]:
+    """(query, its vector's hash, candidate, cosine) of the k best candidates of each query in one shard."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     if not len(rows) or not len(asked):
         return none
     ids = rows.column("id").to_numpy()
@@ -128,7 +126,7 @@ def _search_shard(rows: pa.Table, asked: pa.Table, dimensions: int, k: int, rera
     asked_orders = permutations(units(q), pivot, keep)
     depth = min(len(ids), max(LEAST_RERANKED, k + 1, int(np.ceil(len(ids) * reranked))))
     out: list[tuple] = []
-    for query, vector, permutation in zip(asked.column("id").to_pylist(), q, asked_orders):
+    for query, mark, vector, permutation in zip(asked.column("id").to_pylist(), asked.column("query").to_pylist(), q, asked_orders):
         distance = files.footrule(permutation)
         if depth < len(ids):
             # all rows nearer than the depth-th, and of those as near the smallest ids
@@ -140,7 +138,7 @@ def _search_shard(rows: pa.Table, asked: pa.Table, dimensions: int, k: int, rera
         at = at[ids[at] != query]
         score = cosines(x[at], vector[None, :])
         best = np.lexsort((ids[at], -score))[:k]
-        out.append((np.full(len(best), query), ids[at][best], score[best]))
+        out.append((np.full(len(best), query), np.full(len(best), mark), ids[at][best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

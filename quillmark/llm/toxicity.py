@@ -16,11 +16,11 @@ from quillmark.llm.common import list_rows, small_batches, worker_cache
 
 #: Words are hashed into so many features; a feature is whether a text has it.
 FEATURES = 1 << 20
-#: Labelled rows that are fitted at most, and features that get a weight at most.
-MAX_ROWS, MAX_WEIGHTS = 10_000, 1024
+#: Labelled rows that are fitted at most, unless `fit` is told another bound.
+MAX_ROWS = 10_000
 PREFIXES = (4, 5, 6)
-#: Signed root of the likelihood ratio that a feature needs to get a weight.
-EVIDENCE = 4.5
+#: Signed root of the likelihood ratio, and weight of the graded rows, that a feature needs to get a weight.
+EVIDENCE, LEAST_WEIGHT = 4.5, 2.5
 #: Features that tell copies among the labelled rows.
 SKETCH = 4
 #: Words remembered by a task at most; then it starts anew.
@@ -56,44 +56,57 @@ class OrdinalModel:
         return _sigmoid(np.asarray(score)[..., None] - self.cuts)
 
 
-class _Rows:
-    """The training rows' features, flattened, with a weight for each row."""
+class TrainingRows:
+    """The training rows' features, distinct within a row, with a weight for each row. They are counted
+    row by row: no second copy of all features is made."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
-        self.flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), np.fromiter(map(len, rows), np.int64, self.n))
+        self.rows, self.n = rows, len(rows)
+        self.held = np.zeros(FEATURES, np.int32)
+        for row in rows:
+            self.held[row] += 1
+        self.used = np.flatnonzero(self.held)
         self.weight = np.ones(self.n)
         if self.n:
             self._share_copies()
 
     def _share_copies(self) -> None:
         """Rows with the same `SKETCH` least uncommon features are copies; they share one weight."""
-        held = np.bincount(self.flat, minlength=FEATURES)
-        uncommon = (held[self.flat] >= 2) & (held[self.flat] <= max(2, self.n // 100))
-        owner, mixed = self.owner[uncommon], (self.flat[uncommon].astype(np.int64) * 0x9E3779B1) % 0xFFFFFFFB
-        order = np.lexsort((mixed, owner))
-        owner, mixed = owner[order], mixed[order]
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
         sketch = np.full((self.n, SKETCH), -1)
         sketch[:, 0] = -1 - np.arange(self.n)
-        leading = rank < SKETCH
-        sketch[owner[leading], rank[leading]] = mixed[leading]
+        most = max(2, self.n // 100)
+        for i, row in enumerate(self.rows):
+            uncommon = row[(self.held[row] >= 2) & (self.held[row] <= most)]
+            mixed = np.sort((uncommon.astype(np.int64) * 0x9E3779B1) % 0xFFFFFFFB)[:SKETCH]
+            sketch[i, : len(mixed)] = mixed
         _, group, size = np.unique(sketch, axis=0, return_inverse=True, return_counts=True)
         self.weight = 1.0 / size[group.ravel()]
 
     def evidence(self, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signed root of each feature's likelihood ratio, positive where it speaks for toxic rows,
-        and the weight of its toxic rows."""
-        by_row = self.weight[self.owner]
-        marked = toxic[self.owner]
-        in1 = np.bincount(self.flat[marked], weights=by_row[marked], minlength=FEATURES)
-        in0 = np.bincount(self.flat[~marked], weights=by_row[~marked], minlength=FEATURES)
+        """Signed root of the likelihood ratio of each feature in `used`, positive where it speaks for
+        toxic rows, and the weight of its toxic rows."""
+        sums = np.zeros((2, FEATURES))
+        for row, weight, marked in zip(self.rows, self.weight.tolist(), toxic.tolist()):
+            sums[int(marked), row] += weight
+        in0, in1 = sums[:, self.used]
         share = self.weight[toxic].sum() / self.weight.sum()
         both = np.maximum(in1 + in0, 1e-9)
         ratio = sum(np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / (both * p)), 0) for n, p in ((in1, share), (in0, 1 - share)))
         return np.sign(in1 / both - share) * np.sqrt(np.maximum(2 * ratio, 0)), in1
 
+    def telling(self, toxic: np.ndarray, evidence: float = EVIDENCE, least_weight: float = 0.0) -> np.ndarray:
+        """The features that speak for toxic rows with more than this evidence."""
+        found, in1 = self.evidence(toxic)
+        return self.used[(found > evidence) & (in1 >= least_weight)]
+
+    def places(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, index in ``columns``) of every feature that a row has of them."""
+        place = np.full(FEATURES, -1, np.int32)
+        place[columns] = np.arange(len(columns))
+        at = [place[row] for row in self.rows]
+        at = [x[x >= 0] for x in at]
+        return np.repeat(np.arange(self.n), [len(x) for x in at]), np.concatenate(at)
+
 
 def minimise(objective, x: np.ndarray, steps: int = 200, memory: int = 12) -> np.ndarray:
     """Limited-memory quasi-Newton descent; ``objective`` gives a value and its gradient."""
@@ -131,14 +144,36 @@ def minimise(objective, x: np.ndarray, steps: int = 200, memory: int = 12) -> np
     return x
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge: float = 0.1) -> OrdinalModel:
-    """The penalised likelihood's maximum over one weight vector and ascending cuts.
+def ordinal_loss(
+    owner: np.ndarray, at: np.ndarray, row_weight: np.ndarray, grades: np.ndarray, weights: np.ndarray, cuts: np.ndarray, ridge: float
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """The penalised negative log-likelihood, and its gradient by weight and by cut.
 
-    Features are screened first: only those that speak for a graded text, `MAX_WEIGHTS` with the
-    strongest evidence at most, get weights; all others stay at zero, so texts of any length are
-    judged by the same few features. Those whose fitted weight speaks against it are dropped and
-    the rest is fitted again. Cuts are kept ascending by fitting the logarithms of their
-    differences. Rows that are copies of each other share one row's weight.
+    P(grade = g) = P(grade >= g) - P(grade >= g + 1), where the first and the last are 1 and 0.
+    ``owner`` and ``at`` say which row has which weight's feature.
+    """
+    n, n_grades = len(grades), len(cuts) + 1
+    index, edge = np.arange(n), np.full((n, 1), np.inf)
+    score = np.bincount(owner, weights=weights[at], minlength=n)
+    p = _sigmoid(np.concatenate([edge, score[:, None] - cuts, -edge], axis=1))
+    upper, lower = p[index, grades], p[index, grades + 1]
+    mass = np.maximum(upper - lower, 1e-12)
+    toward = row_weight * (1 - upper - lower)  # d log P / d score
+    by_cut = np.bincount(grades + 1, weights=row_weight * lower * (1 - lower) / mass, minlength=n_grades + 1)
+    by_cut -= np.bincount(grades, weights=row_weight * upper * (1 - upper) / mass, minlength=n_grades + 1)
+    by_weight = ridge * weights - np.bincount(at, weights=toward[owner], minlength=len(weights))
+    return float(-(row_weight * np.log(mass)).sum() + ridge / 2 * (weights @ weights)), by_weight, -by_cut[1:n_grades]
+
+
+def fit_ordinal(rows: list[np.ndarray] | TrainingRows, grades: np.ndarray, n_grades: int, ridge: float = 0.1, evidence: float = EVIDENCE) -> OrdinalModel:
+    """The penalised likelihood's maximum over one weight vector, nowhere negative, and ascending cuts.
+
+    A weight is given to every feature that speaks for a graded text with more than ``evidence``,
+    however many they are; all others stay at zero, so that noise does not add up over long texts.
+    Weights are constrained to zero or more, so nothing that a text says besides can excuse it:
+    those that the fit would make negative are set to zero and the rest is fitted again. Cuts are
+    kept ascending by fitting the logarithms of their differences. Rows that are copies of each
+    other share one row's weight.
     """
     grades = np.asarray(grades, np.int64)
     toxic = grades > 0
@@ -146,37 +181,20 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge
         # one class only: no feature can tell, the cuts alone say which
         least = -30.0 if len(grades) and toxic.all() else 30.0
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), least + np.arange(n_grades - 1))
-    data = _Rows(rows)
-    evidence, in1 = data.evidence(toxic)
-    columns = np.argsort(-evidence, kind="stable")[:MAX_WEIGHTS]
-    columns = np.sort(columns[(evidence[columns] > EVIDENCE) & (in1[columns] >= 2.5)])
+    data = rows if isinstance(rows, TrainingRows) else TrainingRows(rows)
+    columns = data.telling(toxic, evidence, LEAST_WEIGHT)
     counts = np.bincount(grades, weights=data.weight, minlength=n_grades) + 1.0
     above = counts[::-1].cumsum()[::-1][1:] / counts.sum()
     cuts = -np.log(above / (1 - above))
     start = np.concatenate([[cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-2))])
-    index = np.arange(data.n)
-    edge = np.full((data.n, 1), np.inf)
     while True:
-        place = np.full(FEATURES, -1)
-        place[columns] = np.arange(len(columns))
-        used = place[data.flat] >= 0
-        owner, at = data.owner[used], place[data.flat[used]]
+        owner, at = data.places(columns)
 
         def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
             weights, first, gaps = v[: len(columns)], v[len(columns)], np.exp(np.clip(v[len(columns) + 1 :], -12, 4))
             cuts = first + np.concatenate([[0.0], np.cumsum(gaps)])
-            score = np.bincount(owner, weights=weights[at], minlength=data.n)
-            p = _sigmoid(np.concatenate([edge, score[:, None] - cuts, -edge], axis=1))
-            upper, lower = p[index, grades], p[index, grades + 1]
-            mass = np.maximum(upper - lower, 1e-12)
-            toward = data.weight * (1 - upper - lower)  # d log P / d score
-            by_cut = np.bincount(grades + 1, weights=data.weight * lower * (1 - lower) / mass, minlength=n_grades + 1)
-            by_cut -= np.bincount(grades, weights=data.weight * upper * (1 - upper) / mass, minlength=n_grades + 1)
-            d_cuts = by_cut[1:n_grades]
-            slope = np.concatenate(
-                [np.bincount(at, weights=toward[owner], minlength=len(columns)) - ridge * weights, [d_cuts.sum()], [d_cuts[k + 1 :].sum() * g for k, g in enumerate(gaps)]]
-            )
-            return float(-(data.weight * np.log(mass)).sum() + ridge / 2 * (weights @ weights)), -slope
+            value, by_weight, by_cut = ordinal_loss(owner, at, data.weight, grades, weights, cuts, ridge)
+            return value, np.concatenate([by_weight, [by_cut.sum()], [by_cut[k + 1 :].sum() * g for k, g in enumerate(gaps)]])
 
         best = minimise(objective, np.concatenate([np.zeros(len(columns)), start]))
         weights = best[: len(columns)]
@@ -186,18 +204,24 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge
         columns, start = columns[weights >= 0], best[len(columns) :]
 
 
-def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 (clean), 1 (toxic) and 2 (severe) from yes-or-no labels.
+def severity_grades(rows: list[np.ndarray] | TrainingRows, labels: np.ndarray) -> np.ndarray:
+    """Grades from 0 (clean) on. Labels of more than two values are grades themselves, in their order.
 
-    Severe are the toxic rows with more of the features that speak for toxic texts than the
-    median toxic row has.
+    Yes-or-no labels say nothing of severity: their toxic rows are parted into 1 (toxic) and 2
+    (severe), those with more features that speak for toxic texts than the median toxic row has.
+    The upper threshold is then only as good as this rule; the lower one rests on the labels alone.
     """
-    toxic = np.asarray(toxic, bool)
+    labels = np.asarray(labels)
+    values, grades = np.unique(labels, return_inverse=True)
+    if len(values) > 2:
+        return grades.astype(np.int64)
+    toxic = labels > 0
     if not len(toxic) or not toxic.any() or toxic.all():
         return toxic.astype(np.int64)
-    data = _Rows(rows)
-    evidence, _ = data.evidence(toxic)
-    marks = np.bincount(data.owner, weights=(evidence > EVIDENCE)[data.flat], minlength=data.n)
+    data = rows if isinstance(rows, TrainingRows) else TrainingRows(rows)
+    telling = np.zeros(FEATURES, bool)
+    telling[data.telling(toxic)] = True
+    marks = np.fromiter((telling[row].sum() for row in data.rows), np.int64, data.n)
     return toxic.astype(np.int64) + (toxic & (marks > np.median(marks[toxic])))
 
 
@@ -213,8 +237,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
     """Fit on the ``max_rows`` labelled ids that come first by hash; their features reach the driver.
 
-    Null ids, labels or texts are not used; an id that is labelled twice counts as toxic if either
-    label says so. Without both classes the model calls every text the one that it saw, or clean.
+    ``label`` is 0 or 1, or a grade. Null ids, labels or texts are not used; an id that is labelled
+    twice has the greater label; an id that many rows repeat counts once, with the smallest of its
+    texts. Other columns, whatever their names, are not read. Without two classes, as on empty
+    tables, the model calls every text the one that it saw, or clean.
     """
     small_batches(docs.sparkSession)
     chosen = (
@@ -226,12 +252,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    # an id that many rows repeat counts once, with the smallest of its texts
     sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("t").alias("t"))
-    table = sample.mapInArrow(_sampled, "id long, toxic int, features array<int>").toArrow().sort_by("id")
-    rows = list_rows(table.column("features"))
-    toxic = table.column("toxic").to_numpy() > 0
-    return fit_ordinal(rows, severity_grades(rows, toxic), 3)
+    table = sample.mapInArrow(_sampled, "id long, toxic int, features array<int>").toArrow()
+    order = np.argsort(table.column("id").to_numpy()).tolist()
+    rows, labelled = list_rows(table.column("features")), table.column("toxic").to_numpy()[order]
+    data = TrainingRows([rows[i] for i in order])
+    grades = severity_grades(data, labelled)
+    model = fit_ordinal(data, grades, max(3, int(grades.max(initial=0)) + 1))
+    del table, rows, data
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 class _Weights(dict):
@@ -258,7 +288,9 @@ def predict(df: DataFrame, model: OrdinalModel, text: str = "text") -> Column:
     """A struct (severity, p_toxic, grade) for each whole text.
 
     ``severity`` is the expected grade, the sum of P(grade >= k); ``p_toxic`` is P(grade >= 1).
-    A null or empty text has no features and is judged by the cuts alone.
+    A null or empty text has no features and is judged by the cuts alone. Equal texts, however often
+    they are repeated, get equal values; an empty table gives no rows. Only the column ``text`` is
+    read, so other columns may have any names.
     """
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)

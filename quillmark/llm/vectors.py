@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,11 +14,33 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def component_type(*frames_and_columns: tuple[DataFrame, str]) -> str:
+    """``float`` where all these columns hold floats, else ``double``: no component is rounded."""
+    return "float" if all(dict(df.dtypes)[c] == "array<float>" for df, c in frames_and_columns) else "double"
+
+
+def plain(vector: Column | str, kind: str) -> Column:
+    """The vector's components as ``kind``, negative zeros as zeros."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    zero = F.lit(0.0).cast(kind)
+    return F.transform(vector.cast(f"array<{kind}>"), lambda x: F.when(x == 0, zero).otherwise(x))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
-    """Vectors of one length as rows, in double precision."""
+    """Vectors of one length as rows, in double precision, fit for squaring (`tame`)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimensions)
+    return tame(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimensions))
+
+
+def tame(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish, times a power of two, which leaves cosines as they are."""
+    most = np.abs(x).max(axis=1, initial=0)
+    wild = (most > 1e100) | ((most < 1e-100) & (most > 0))
+    if wild.any():
+        x = x.copy()
+        x[wild] = np.ldexp(x[wild], -np.frexp(most[wild])[1][:, None])
+    return x
 
 
 def norms(x: np.ndarray) -> np.ndarray:
