@@ -137,12 +137,34 @@ def quote_match(text: Column | str, quote: Column | str) -> Column:
     return of(text, quote)
 
 
+#: Numbers that `sums_before` adds up at a time.
+_RUN = 256
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number of an array the sum of all before it. Runs are added up first, so that the work
+    grows with the array's length and not with its square."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _RUN).cast("int")), lambda r: total(F.slice(numbers, r * _RUN + 1, F.lit(_RUN))))
+    before = F.aggregate(runs, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    held = F.transform(F.array(F.struct(numbers.alias("n"), before.alias("b"))), lambda h: F.transform(
+        h["n"], lambda x, i: F.get(h["b"], F.floor(i / _RUN).cast("int")) + total(F.slice(h["n"], F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN))
+    ))
+    return F.element_at(held, 1)
+
+
 def exact_ranges(text: Column, quote: Column) -> Column:
-    """All occurrences, overlapping ones included, without Python: array of (start, end)."""
+    """All occurrences, overlapping ones included, without Python: array of (start, end).
+
+    The text is cut in front of every occurrence; lengths of the pieces say where they begin.
+    """
     n = F.length(quote)
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    hits = F.filter(starts, lambda i: F.substr(text, i, n) == quote)
-    ranges = F.transform(hits, lambda i: F.struct((i - 1).cast("int").alias("start"), (i - 1 + n).cast("int").alias("end")))
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.transform(F.split(text, literal), lambda p: F.length(p))
+    starts = sums_before(pieces)
+    # the first piece is an occurrence only if the text begins with the quote
+    hits = F.slice(starts, F.when(F.startswith(text, quote), 1).otherwise(2), F.size(starts))
+    ranges = F.transform(hits, lambda i: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end")))
     return F.when(F.contains(text, quote) & (n > 0), ranges).otherwise(F.expr(f"cast(array() as array<{RANGE}>)"))
 
 

@@ -184,6 +184,25 @@ def sanitized(json: Column) -> Column:
     return of(json)
 
 
+def _digest_text(text: str | None) -> str | None:
+    try:
+        value = _without_secrets(json_text.loads(text)) if text is not None else None
+        return json_text.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False) if isinstance(value, (dict, list)) else None
+    except ValueError:
+        return None
+
+
+def canonical_body(json: Column) -> Column:
+    """A JSON object or list without keys that name a secret at any depth, its keys sorted and its
+    types kept: bodies that say the same have the same text. What is no JSON object or list gives null."""
+
+    @F.arrow_udf("string")
+    def of(values: pa.Array) -> pa.Array:
+        return pa.array([_digest_text(v) for v in values.to_pylist()], pa.string())
+
+    return of(json)
+
+
 def inspection_facts(counts: dict[str, Column], chunk_warnings: Column, base: Column, zero_reason: Column) -> dict[str, Column]:
     """Facts of a finished run for a planner, its warnings with them, and whether trying again may help."""
     partial = (counts["chunks_failed"] > 0) | F.array_contains(base, "PARTIAL_CHUNK_FAILURE")

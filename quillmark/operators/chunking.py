@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.operators.agent import sanitized
+from quillmark.operators.agent import canonical_body
 from quillmark.schemas import CHUNKS
 
 #: Digits of a chunk's number and count in a prompt.
@@ -191,7 +191,36 @@ def section_runs(blocks: DataFrame) -> DataFrame:
 
 
 
-
 def request_fingerprint(adapter: Column, endpoint: Column, body: Column) -> Column:
-    """Digest of a request: its adapter, endpoint and body, a JSON object, without secrets at any depth."""
-    return F.sha2(F.to_json(F.struct(adapter.alias("adapter"), sanitized(body).alias("body"), endpoint.alias("endpoint"))), 256)
+    """Digest of a request: its adapter, endpoint and body, a JSON object, without secrets at any depth
+    and whatever the order of its keys."""
+    return F.sha2(F.to_json(F.struct(adapter.alias("adapter"), canonical_body(body).alias("body"), endpoint.alias("endpoint"))), 256)
+
+
+def cell_maps(blocks: DataFrame, cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(document_id, block_id, prompt_text): table blocks as a prompt shows them, each row's cells with
+    their ids, places and text.
+
+    ``blocks``: document_id, block_id, section_path, text, table_id, first_row, last_row; ``cells``:
+    table_id, cell_id, row, column, row_span, column_span, text; a cell stands in every row that it
+    spans. ``headers``: block_id, cell_id and row of header rows shown again above a later block.
+    """
+    b = blocks.select("document_id", "block_id", "section_path", F.col("text").alias("block_text"), "table_id", "first_row", "last_row")
+    spread = cells.withColumn("at", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("row_span") - 1)))
+    shown = b.select("document_id", "block_id", "table_id", "first_row", "last_row").join(spread, "table_id").where("at between first_row and last_row").withColumn("place", F.lit("row"))
+    if headers is not None:
+        again = headers.select("block_id", "cell_id", F.col("row").alias("at")).distinct()
+        above = b.select("document_id", "block_id", "table_id", "first_row", "last_row").join(again, "block_id").join(cells, ["table_id", "cell_id"]).withColumn("place", F.lit("repeated_header"))
+        shown = shown.unionByName(above)
+    one = F.concat(
+        "cell_id", F.lit("(row="), F.col("row").cast("string"), F.lit(",column="), F.col("column").cast("string"), F.lit(",row_span="), F.col("row_span").cast("string"),
+        F.lit(",column_span="), F.col("column_span").cast("string"), F.lit(",text="), F.regexp_extract(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), r'(?s)^\{"t":(.*)\}$', 1), F.lit(")"),
+    )
+    by_row = shown.groupBy("document_id", "block_id", "place", "at").agg(F.array_sort(F.collect_list(F.struct("column", "row", "cell_id", one.alias("one")))).alias("cs"))
+    line = F.concat("place", F.lit(" "), F.col("at").cast("string"), F.lit(": "), F.array_join("cs.one", " | "))
+    maps = by_row.groupBy("document_id", "block_id").agg(F.array_sort(F.collect_list(F.struct((F.col("place") == "row").alias("primary"), "at", line.alias("line")))).alias("ls"))
+    head = F.concat(
+        F.lit("["), "block_id", F.lit("]\ntype: table\nsection_path: "), F.array_join("section_path", " > "), F.lit("\ntable_id: "), F.col("table_id").cast("string"), F.lit("\nprimary_rows: "),
+        F.col("first_row").cast("string"), F.lit("-"), F.col("last_row").cast("string"), F.lit("\ncanonical_text: "), "block_text", F.lit("\ncell_map:\n"),
+    )
+    return b.join(maps, ["document_id", "block_id"]).select("document_id", "block_id", F.concat(head, F.array_join("ls.line", "\n")).alias("prompt_text"))

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The columns of the flat export.
 HEADERS = (
@@ -89,3 +90,32 @@ def highlight(text: Column, start: Column, end: Column) -> Column:
 def status_list(sources: Column) -> Column:
     """The match statuses of a requirement's sources, ``UNVERIFIED`` without any."""
     return F.when(F.size(sources) > 0, F.array_join(F.transform(sources, lambda s: s["match_status"]), ", ")).otherwise("UNVERIFIED")
+
+
+def selection_identities(source: Column) -> Column:
+    """What a source may be known by, best first: its key, its canonical cells, the cells as given, its
+    table row, its range, its quote. ``source``: source_key, document_id, block_id, quote,
+    canonical_cell_ids, cell_ids, row_index, start, end; any may be null."""
+    base = [source[c].alias(c) for c in ("document_id", "block_id", "quote")]
+    some = lambda c: F.coalesce(F.size(source[c]) > 0, F.lit(False))
+    made = lambda kind, *more: F.to_json(F.struct(F.lit(kind).alias("kind"), *base, *more))
+    return F.array_compact(
+        F.array(
+            F.nullif(source["source_key"], F.lit("")),
+            F.when(some("canonical_cell_ids"), made("canonical_cells", source["canonical_cell_ids"].alias("cells"))),
+            F.when(some("cell_ids"), made("cells", source["cell_ids"].alias("cells"))),
+            F.when(source["row_index"].isNotNull(), made("row", source["row_index"].alias("row"))),
+            F.when(source["start"].isNotNull(), made("range", source["start"].alias("start"), source["end"].alias("end"))),
+            made("quote"),
+        )
+    )
+
+
+def selections(sources: DataFrame, by: list[str], order: str, source: str = "source") -> DataFrame:
+    """(by, order, identity, occurrence): the best identity of each source, and how many earlier sources
+    of the same key are known by it too, as their best identity or a lesser one."""
+    named = sources.select(*by, order, selection_identities(F.col(source)).alias("ids"))
+    known = named.select(*by, order, F.element_at("ids", 1).alias("best"), F.explode(F.array_distinct("ids")).alias("identity"))
+    w = Window.partitionBy(*by, "identity").orderBy(order)
+    counted = known.withColumn("occurrence", (F.row_number().over(w) - 1).cast("long"))
+    return counted.where("identity = best").select(*by, order, "identity", "occurrence")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import strip
-from quillmark.schemas import ITEM
 
 # Names that are accepted for each value of a field.
 ALIASES = {
@@ -69,7 +68,7 @@ def source_quote(quote: Column, block_type: Column) -> Column:
     return F.when(F.coalesce(block_type, F.lit("")) == "table", bare).otherwise(cell)
 
 
-def changes(fields: dict[str, tuple[Column, Column]], confidence_value: Column) -> Column:
+def changes(fields: dict[str, tuple[Column, Column]], confidence_value: Column, confidence_log: Column | None = None) -> Column:
     """Array of (field, input, normalized) for every field whose value is not what was given."""
     kind = "struct<field: string, input: string, normalized: string>"
 
@@ -77,11 +76,43 @@ def changes(fields: dict[str, tuple[Column, Column]], confidence_value: Column)
         return F.struct(F.lit(name).alias("field"), given.alias("input"), made.alias("normalized")).cast(kind)
 
     listed = [F.when(given != made, entry(name, given, made)) for name, (given, made) in fields.items()]
-    changed = confidence_change(confidence_value)
+    changed = confidence_change(confidence_value) if confidence_log is None else confidence_log
     listed.insert(0, F.when(changed.isNotNull(), entry("confidence", _raw(confidence_value), changed)))
     return F.array_compact(F.array(*listed))
 
 
+class Field:
+    """A field of a model item, a variant: JSON types decide, so that ``"2"`` is not 2 nor true 1."""
+
+    def __init__(self, item: Column | str, name: str):
+        self.value = F.try_variant_get(item, f"$.{name}", "variant")
+        self.kind = F.schema_of_variant(self.value)
+        self.missing = self.value.isNull()
+        self.given = ~F.coalesce(self.kind == "VOID", F.lit(True))
+        self.is_text = F.coalesce(self.kind == "STRING", F.lit(False))
+        self.is_flag = F.coalesce(self.kind == "BOOLEAN", F.lit(False))
+        self.is_list = F.coalesce(F.startswith(self.kind, F.lit("ARRAY")), F.lit(False))
+        self.is_number = F.coalesce(self.kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+        self.is_whole = F.coalesce(self.kind == "BIGINT", F.lit(False))
+        self.text = _shown(self.value, self.kind)
+        self.number = F.try_variant_get(self.value, "$", "double")
+
+    @property
+    def says(self) -> Column:
+        """Not missing, null, empty, zero or false."""
+        empty = F.coalesce(F.to_json(self.value).isin("null", '""', "false", "[]", "{}"), F.lit(True))
+        return ~empty & ~(self.is_number & (self.number == 0))
+
+    def members(self) -> Column:
+        return F.try_variant_get(self.value, "$", "array<variant>")
+
+
+def _shown(value: Column, kind: Column) -> Column:
+    """The value as text; true and false with a capital."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
 def explode_items(chunks: DataFrame, payload: str = "payload") -> DataFrame:
     """A row per item of a chunk's JSON payload; a payload that is no object with an array ``items``
     gives one row with the error of the whole chunk."""
@@ -91,43 +122,41 @@ def explode_items(chunks: DataFrame, payload: str = "payload") -> DataFrame:
     error = F.when(~F.coalesce(is_object, F.lit(False)), "MODEL_PAYLOAD_NOT_OBJECT").when(items.isNull(), "MODEL_PAYLOAD_ITEMS_MISSING")
     rows = parsed.select(*chunks.columns, error.alias("chunk_error"), F.posexplode_outer(items).alias("item_index", "__item"))
     rows = rows.where(F.col("item_index").isNotNull() | F.col("chunk_error").isNotNull())
-    text = F.to_json("__item")
     object_item = F.startswith(F.schema_of_variant("__item"), F.lit("OBJECT"))
     return rows.select(
-        *chunks.columns, "chunk_error", "item_index", text.alias("raw_item"), F.coalesce(object_item, F.lit(False)).alias("is_object"),
-        F.from_json(text, ITEM).alias("item"),
+        *chunks.columns, "chunk_error", "item_index", F.to_json("__item").alias("raw_item"), F.coalesce(object_item, F.lit(False)).alias("is_object"),
+        F.col("__item").alias("item"),
     )
 
 
 def coerce_items(items: DataFrame, blocks: DataFrame, context: DataFrame, table_blocks: DataFrame) -> DataFrame:
     """Typed candidates with ``error_code`` (null for those that are accepted).
 
-    ``items``: document_id, chunk_id, item_index, is_object, item. ``context``: the blocks
+    ``items``: document_id, chunk_id, item_index, is_object, item (a variant). ``context``: the blocks
     (document_id, chunk_id, block_id) that a chunk shows as context only. ``table_blocks``: blocks
     (document_id, block_id) whose sources must name cells. The code is that of the first check that
     fails; an item's siblings are not affected.
     """
-    i = lambda name: F.col(f"item.{name}")
-    known = blocks.select("document_id", F.col("block_id").alias("b_id"), F.col("type").alias("b_type"), "section_path", "page")
-    ctx = context.select(F.col("document_id").alias("c_doc"), F.col("chunk_id").alias("c_chunk"), F.col("block_id").alias("c_block"), F.lit(True).alias("is_context")).distinct()
-    need = table_blocks.select(F.col("document_id").alias("t_doc"), F.col("block_id").alias("t_block"), F.lit(True).alias("needs_cells")).distinct()
-    rows = (
-        items.withColumn("b_id", i("source_block_id"))
-        .join(known, ["document_id", "b_id"], "left")
-        .join(ctx, (F.col("document_id") == F.col("c_doc")) & (F.col("chunk_id") == F.col("c_chunk")) & (F.col("b_id") == F.col("c_block")), "left")
-        .join(need, (F.col("document_id") == F.col("t_doc")) & (F.col("b_id") == F.col("t_block")), "left")
-    )
-    cells = F.from_json(i("source_cell_ids"), "array<string>")
-    row_index = i("source_table_row_index").try_cast("int")
-    has_cells, has_row = F.coalesce(F.size(cells) > 0, F.lit(False)), i("source_table_row_index").isNotNull()
-    bad_cells = i("source_cell_ids").isNotNull() & F.coalesce(cells.isNull() | (F.size(F.array_distinct(cells)) < F.size(cells)) | ~F.forall(cells, lambda c: c.rlike(CELL_ID)), F.lit(True))
-    missing = [F.coalesce(i(n), F.lit("")) == "" for n in ("statement", "source_block_id", "source_quote")]
+    need = table_blocks.select("document_id", "block_id", F.lit(True).alias("needs_cells")).distinct()
+    known = blocks.select("document_id", "block_id", F.col("type").alias("b_type"), "section_path", "page").join(need, ["document_id", "block_id"], "full").withColumnRenamed("block_id", "b_id")
+    ctx = context.select("document_id", "chunk_id", F.col("block_id").alias("b_id"), F.lit(True).alias("is_context")).distinct()
+    f = {n: Field("item", n) for n in ("title", "statement", "subject", "condition", "response", "source_block_id", "source_quote", "source_cell_ids", "source_table_row_index", "confidence", "tags", *ALIASES)}
+    block, quoted, cell, row, sure, tag = (f[n] for n in ("source_block_id", "source_quote", "source_cell_ids", "source_table_row_index", "confidence", "tags"))
+    rows = items.withColumn("b_id", block.text).join(known, ["document_id", "b_id"], "left").join(ctx, ["document_id", "chunk_id", "b_id"], "left")
+    texts = cell.is_list & F.coalesce(F.forall(cell.members(), lambda c: F.coalesce(F.schema_of_variant(c) == "STRING", F.lit(False))), F.lit(False))
+    cells = F.when(texts, F.try_variant_get(cell.value, "$", "array<string>"))
+    row_index = F.when(row.is_whole, F.try_variant_get(row.value, "$", "int"))
+    has_cells, has_row = F.coalesce(F.size(cells) > 0, F.lit(False)), row.given
+    bad_cells = cell.given & F.coalesce(cells.isNull() | (F.size(F.array_distinct(cells)) < F.size(cells)) | ~F.forall(cells, lambda c: c.rlike(CELL_ID)), F.lit(True))
     in_context = F.coalesce("is_context", F.lit(False))
     evidence = has_cells | has_row
+    bad_text = F.lit(False)
+    for name in ("title", "subject", "condition", "response"):
+        bad_text |= f[name].given & ~f[name].is_text
     code = (
         F.when(~F.col("is_object"), "MODEL_ITEM_NOT_OBJECT")
-        .when(missing[0] | missing[1] | missing[2], "MODEL_ITEM_MISSING_FIELD")
-        .when(in_context & (i("source_cell_ids").isNotNull() | has_row), "MODEL_ITEM_CONTEXT_CELL_REFERENCE")
+        .when(~f["statement"].says | ~block.says | ~quoted.says, "MODEL_ITEM_MISSING_FIELD")
+        .when(in_context & (cell.given | has_row), "MODEL_ITEM_CONTEXT_CELL_REFERENCE")
         .when(in_context, "MODEL_ITEM_INVALID")
         .when(bad_cells, "MODEL_ITEM_INVALID_CELL_IDS")
         .when(has_row & F.coalesce(row_index < 1, F.lit(True)), "MODEL_ITEM_INVALID_TABLE_ROW_INDEX")
@@ -136,22 +165,45 @@ def coerce_items(items: DataFrame, blocks: DataFrame, context: DataFrame, table_
         .when(has_cells & ~has_row, "MODEL_ITEM_TABLE_SOURCE_MISSING_ROW_INDEX")
         .when(has_row & ~has_cells, "MODEL_ITEM_TABLE_ROW_WITHOUT_CELL_IDS")
         .when(F.coalesce("needs_cells", F.lit(False)) & ~has_cells, "MODEL_ITEM_TABLE_SOURCE_MISSING_CELL_IDS")
+        .when(bad_text, "MODEL_ITEM_SCHEMA_INVALID")
     )
-    enums = {n: (_raw(i(n)), enum(i(n), n)) for n in ALIASES}
-    quote = source_quote(i("source_quote"), F.col("b_type"))
-    logged = changes({**enums, "source_quote": (i("source_quote"), quote)}, i("confidence"))
-    tags = F.when(i("tags").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.coalesce(F.from_json(i("tags"), "array<string>"), F.array(i("tags"))))
+    said = {n: F.when(f[n].says, f[n].text) for n in ALIASES}
+    enums = {n: (_raw(said[n]), enum(said[n], n)) for n in ALIASES}
+    quote = source_quote(quoted.text, F.col("b_type"))
+    # numbers, flags and a missing confidence are taken as they are and logged nowhere
+    number = F.when(sure.is_number | sure.is_flag, sure.number).when(sure.missing, F.lit(0.0))
+    word = F.when(sure.says, sure.text)
+    logged = changes({**enums, "source_quote": (quoted.text, quote)}, word, F.when(number.isNull(), confidence_change(word)))
+    none = F.expr("cast(array() as array<string>)")
+    named = F.transform(tag.members(), lambda t: F.coalesce(_shown(t, F.schema_of_variant(t)), F.lit("None")))
+    tags = F.when(~tag.given, none).when(tag.is_list, named).otherwise(F.array(tag.text))
     return rows.select(
-        "document_id", "chunk_id", "item_index", code.alias("error_code"), i("title").alias("title"),
+        "document_id", "chunk_id", "item_index", code.alias("error_code"), f["title"].text.alias("title"),
         *[made.alias(n) for n, (_, made) in enums.items()],
-        i("statement").alias("statement"), i("subject").alias("subject"), i("condition").alias("condition"), i("response").alias("response"),
-        confidence(i("confidence")).alias("confidence"), tags.alias("tags"), logged.alias("normalizations"),
+        *[f[n].text.alias(n) for n in ("statement", "subject", "condition", "response")],
+        F.coalesce(number, confidence(word)).alias("confidence"), tags.alias("tags"), logged.alias("normalizations"),
         F.when(F.exists(logged, lambda x: x["normalized"] == "unknown"), "needs_recheck").otherwise("pending").alias("review_status"),
-        F.struct(i("source_block_id").alias("block_id"), quote.alias("quote"), F.array_join("section_path", " > ").alias("section"), F.col("page"),
-                 F.coalesce(cells, F.expr("cast(array() as array<string>)")).alias("cell_ids"), row_index.alias("row_index")).alias("source"),
+        F.struct(block.text.alias("block_id"), quote.alias("quote"), F.array_join("section_path", " > ").alias("section"), F.col("page"),
+                 F.coalesce(cells, none).alias("cell_ids"), row_index.alias("row_index")).alias("source"),
     )
 
 
+def reject_unprepared(candidates: DataFrame, selections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prepared, rejected): candidates with their cells in canonical order, and those whose cells
+    break a rule, with error_code and error.
+
+    ``candidates`` and ``selections`` share source_key; ``selections``: error, cell_ids as
+    `tables.canonical_selection` gives them. A candidate without a selection cites no cells.
+    """
+    found = selections.select("source_key", F.col("error").alias("selection_error"), F.col("cell_ids").alias("canonical_cell_ids"))
+    joined = candidates.join(found, "source_key", "left")
+    none = F.expr("cast(array() as array<string>)")
+    prepared = joined.where("selection_error is null").withColumn("canonical_cell_ids", F.coalesce("canonical_cell_ids", none)).drop("selection_error")
+    code = F.when(F.contains("selection_error", F.lit("ROW")), "MODEL_ITEM_INVALID_TABLE_ROW_INDEX").otherwise("MODEL_ITEM_INVALID_CELL_IDS")
+    rejected = joined.where("selection_error is not null").withColumn("error_code", code).withColumnRenamed("selection_error", "error").drop("canonical_cell_ids")
+    return prepared, rejected
+
+
 def normalized_requirements(df: DataFrame) -> DataFrame:
     """Statements without white space at their ends; an empty pattern or method is ``unknown``."""
     known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown"))

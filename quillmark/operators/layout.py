@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.functions.text import collapse_space
+
 # Fixed values.
 GAP_FLOOR, GAP_SHARE = 4.0, 0.6
 FONT_FLOOR, FONT_SHARE = 2.0, 0.2
@@ -68,7 +70,7 @@ def repeated_edges(lines: DataFrame, pages: DataFrame) -> DataFrame:
     document_id, pages.
     """
     role = F.when(F.col("y0") <= TOP_EDGE, "header").when(F.col("y1") >= BOTTOM_EDGE, "footer")
-    edge = lines.withColumn("role", role).where("role is not null").withColumn("key", F.lower("text"))
+    edge = lines.withColumn("role", role).where("role is not null").withColumn("key", F.lower(collapse_space(F.col("text"))))
     drift = [F.max(c) - F.min(c) <= EDGE_DRIFT for c in ("x0", "y0", "x1", "y1")]
     grouped = edge.groupBy("document_id", "role", "key").agg(F.count_distinct("page").alias("n"), F.min("text").alias("text"), (drift[0] & drift[1] & drift[2] & drift[3]).alias("still"))
     joined = grouped.where("still").join(pages, "document_id")

@@ -27,6 +27,7 @@ def merge_candidates(candidates: DataFrame, keys: list[str], order: list[Column]
     ids are sorted unions; a field in which exactly one value is known takes it, one with more is a
     conflict and sends the row to recheck. ``variants`` counts the rows merged.
     """
+    # of the rows that are first by ``order`` the smallest in all columns, so that the result is one
     head = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], *[F.col(c) for c in candidates.columns if c not in keys])
     known = {f: F.array_sort(F.collect_set(concrete(F.col(f)))) for f in fields}
     grouped = candidates.groupBy(*keys).agg(
@@ -71,3 +72,33 @@ def duplicate_groups(requirements: DataFrame, document: str = "document_id") ->
         .select(document, F.lit("same_source_divergent_statement").alias("reason"), "members")
     )
     return by_statement.unionByName(by_source).where(F.size("members") > 1).distinct()
+
+
+def duplicate_members(requirements: DataFrame, document: str = "document_id", order: str = "order") -> DataFrame:
+    """A row (document, group_id, reason, id) per member of each group of `duplicate_groups`.
+
+    ``requirements``: document, id, order, statement_key, source_identities. Groups are numbered
+    ``DUP-0001`` on within their document: those of equal statements first, then those of a source,
+    each in the order of their first members. Groups with the same members and reason are one. Members
+    are rows, not arrays, so a group may have any size.
+    """
+    statements = requirements.select(document, F.lit(1).alias("rank"), F.struct(F.col("statement_key").alias("a")).cast("string").alias("key"), "id", "statement_key", F.struct(F.col(order).alias("o"), F.lit(0).alias("i")).alias("at"))
+    sources = requirements.select(document, F.lit(2).alias("rank"), "id", "statement_key", order, F.posexplode("source_identities").alias("i", "key"))
+    sources = sources.select(document, "rank", F.col("key").cast("string").alias("key"), "id", "statement_key", F.struct(F.col(order).alias("o"), "i").alias("at"))
+    rows = statements.unionByName(sources)
+    ids = rows.groupBy(document, "rank", "key", "id").agg(F.min("at").alias("at"))
+    told = rows.groupBy(document, "rank", "key", "statement_key").agg(F.lit(1).alias("one")).groupBy(document, "rank", "key").agg(F.count("*").alias("statements"))
+    same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y")]
+    groups = ids.groupBy(document, "rank", "key").agg(F.count("*").alias("n"), F.min("at").alias("at"), *same).join(told, [document, "rank", "key"])
+    groups = groups.where("n > 1 and (rank = 1 or statements > 1)")
+    first = groups.groupBy(document, "rank", "n", "x", "y").agg(F.min(F.struct("at", "key")).alias("f"))
+    number = F.row_number().over(Window.partitionBy(document).orderBy("rank", "f"))
+    named = first.select(document, "rank", F.col("f.key").alias("key"), F.format_string("DUP-%04d", number).alias("group_id"))
+    reason = F.when(F.col("rank") == 1, "normalized_statement_equal").otherwise("same_source_divergent_statement")
+    return ids.join(named, [document, "rank", "key"]).select(document, "group_id", reason.alias("reason"), "id")
+
+
+def duplicate_marks(members: DataFrame, document: str = "document_id") -> DataFrame:
+    """(document, id, duplicate_group_id, possible_group_id): a requirement is marked with the first of
+    its groups, and its possible duplicates are the other members of the last."""
+    return members.groupBy(document, "id").agg(F.min("group_id").alias("duplicate_group_id"), F.max("group_id").alias("possible_group_id"))

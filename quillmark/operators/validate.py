@@ -119,3 +119,13 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
     for report in reports[1:]:
         rows = rows.unionByName(report)
     return rows.groupBy("document_id").agg((F.count_if(F.col("level") == "error") == 0).alias("valid"), F.count("code").alias("issues"))
+
+
+def require_valid(policy: str, **reports: DataFrame) -> None:
+    """Raise if the policy is strict and a report (document_id, valid, ...) has a document that is not
+    valid; quarantine goes on. Reports are written before this is asked."""
+    if policy not in ("strict", "quarantine"):
+        raise ValueError(f"unknown validation policy {policy}")
+    for name, report in reports.items():
+        if policy == "strict" and not report.where("not valid").isEmpty():
+            raise ValueError(f"{name} validation failed")

@@ -6,8 +6,11 @@ passages are quotes, orders and lineitems are tables and cells, events and conve
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,10 +51,62 @@ def doc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BLOCKS_SQL}
 SELECT document_id, 'blk_' || CASE WHEN "order" < 10000 THEN lpad("order"::VARCHAR, 4, '0') ELSE "order"::VARCHAR END AS block_id,
        "order"::INTEGER AS "order", 'paragraph' AS type, text FROM b""")
-def md_blocks(spark, sf_dir):
+def line_blocks(spark, sf_dir):
     return doc_blocks(spark, sf_dir)
 
 
+_MD_SQL = """
+m AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+x AS (SELECT k, unnest([{'n': 1, 't': 'heading', 'l': 1, 'x': 'Order ' || k}, {'n': 2, 't': 'paragraph', 'l': NULL, 'x': 'Status ' || s || chr(10) || 'Priority ' || p}, {'n': 3, 't': 'heading', 'l': 2, 'x': 'Lines'},
+  {'n': 4, 't': 'list', 'l': NULL, 'x': '- a' || chr(10) || '2) b'}, {'n': 5, 't': 'blockquote', 'l': NULL, 'x': '> ' || s}, {'n': 6, 't': 'code', 'l': NULL, 'x': '```' || chr(10) || '# ' || p || chr(10) || '```'},
+  {'n': 7, 't': 'table', 'l': NULL, 'x': '| ' || k || ' | b |'}, {'n': 8, 't': 'heading', 'l': 1, 'x': 'End'}]) AS b FROM m)
+"""
+
+
+@query(f"""WITH {_MD_SQL} SELECT k::VARCHAR AS document_id, 'blk_000' || b.n AS block_id, b.n::INTEGER AS "order", b.t AS type, b.x AS text, b.l::INTEGER AS level,
+CASE WHEN b.n = 8 THEN 'End' WHEN b.n < 3 THEN 'Order ' || k ELSE 'Order ' || k || ' > Lines' END AS section FROM x""")
+def md_blocks(spark, sf_dir):
+    """Orders as Markdown with every kind of block, through the Markdown parser."""
+    k, st, pr = F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    parts = [F.lit("# Order "), k, F.lit("\n\nStatus "), st, F.lit("\nPriority "), pr, F.lit("\n## Lines\n- a\n2) b\n> "), st, F.lit("\n```\n# "), pr, F.lit("\n```\n| "), k, F.lit(" | b |\n\n# End\n")]
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(*parts).alias("md"))
+    found = blocks.parse(made, "o_orderkey", "md", "markdown")
+    return found.select("document_id", "block_id", "order", "type", "text", "level", F.array_join("section_path", " > ").alias("section"))
+
+
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DOCX file per customer: a heading and a table under a header row, of up to 45 rows; some are no files at all."""
+
+    @F.arrow_udf("binary")
+    def made(keys: pa.Array) -> pa.Array:
+        def one(k: int) -> bytes:
+            if k % 11 == 0:
+                return b"no archive"
+            w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+            cell = lambda t, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+            head = "<w:tr><w:trPr><w:tblHeader/></w:trPr>" + cell("a") + cell("b") + "</w:tr>"
+            rows = "".join("<w:tr>" + (cell(f"{k}-{r}", '<w:gridSpan w:val="2"/>') if r % 7 == 0 else cell(f"x{r}") + cell(f"p|{r}")) + "</w:tr>" for r in range(1, k % 45 + 1))
+            body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Customer {k}</w:t></w:r></w:p><w:tbl><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid>{head}{rows}</w:tbl>'
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+                z.writestr("word/styles.xml", f'<w:styles {w}><w:style w:styleId="Heading1"><w:name w:val="heading 1"/></w:style></w:styles>')
+            return out.getvalue()
+
+        return pa.array([one(k) for k in keys.to_pylist()], pa.binary())
+
+    return table(spark, sf_dir, "customer").select("c_custkey", made("c_custkey").alias("docx"))
+
+
+@query(r"""WITH r AS (SELECT c_custkey AS k, unnest(range(0, c_custkey % 45 + 1)) AS r FROM customer WHERE c_custkey % 11 <> 0),
+t AS (SELECT k, r, r // 20 AS g, CASE WHEN r = 0 THEN 'a | b' WHEN r % 7 = 0 THEN k || '-' || r || ' | ' || k || '-' || r ELSE 'x' || r || ' | p\|' || r END AS x FROM r)
+SELECT k::VARCHAR AS document_id, (g + 2)::INTEGER AS "order", 'table' AS type, CASE WHEN g > 0 THEN 'a | b' || chr(10) ELSE '' END || string_agg(x, chr(10) ORDER BY r) AS text FROM t GROUP BY k, g UNION ALL
+SELECT c_custkey::VARCHAR, 1, 'heading', 'Customer ' || c_custkey FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey::VARCHAR, 0, 'unreadable', 'BadZipFile: File is not a zip file' FROM customer WHERE c_custkey % 11 = 0""")
+def docx_blocks(spark, sf_dir):
+    """Row groups of twenty with the header again, merged cells in every column, and files that cannot be read."""
+    return blocks.parse(docx_files(spark, sf_dir), "c_custkey", "docx", "docx").select("document_id", "order", "type", "text")
+
+
 @query(f"""WITH {_BLOCKS_SQL}
 SELECT document_id, count(*) AS block_count, sum(length(text))::BIGINT AS rendered_text_chars,
        CASE WHEN sum(length(text)) + 40 * count(*) >= 4000 THEN 'LARGE_DOCUMENT' ELSE '' END
@@ -69,11 +124,23 @@ def html_sections(spark, sf_dir):
     return blocks.parse(table(spark, sf_dir, "pages"), "page_id", "html", "html")
 
 
-@query()
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as blocks: returned ones are headings of level 1, accepted ones of level 2."""
+    level = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2)
+    return numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("document_id"), F.col("line").alias("order"), F.concat("l_linestatus", F.col("l_partkey").cast("string")).alias("text"), level.alias("level"))
+
+
+_OUTLINE_SQL = """
+o AS (SELECT l_orderkey AS d, l_linestatus || l_partkey AS x, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+h AS (SELECT *, max(CASE WHEN f = 'R' THEN n END) OVER (PARTITION BY d ORDER BY n) AS h1, max(CASE WHEN f = 'A' THEN n END) OVER (PARTITION BY d ORDER BY n) AS h2 FROM o),
+s AS (SELECT h.d, h.n, h.x, concat_ws(' > ', a.x, b.x) AS section FROM h LEFT JOIN o a ON a.d = h.d AND a.n = h.h1 LEFT JOIN o b ON b.d = h.d AND b.n = h.h2 AND h.h2 > coalesce(h.h1, 0))
+"""
+
+
+@query(f"WITH {_OUTLINE_SQL} SELECT d AS document_id, n AS \"order\", section FROM s")
 def section_path_running(spark, sf_dir):
-    """The same paths from windows alone, held against the parser's."""
-    parsed = blocks.parse(table(spark, sf_dir, "pages"), "page_id", "html", "html").withColumnRenamed("section_path", "parsed_path")
-    return blocks.section_paths(parsed).select("document_id", "block_id", "section_path", (F.col("section_path") == F.col("parsed_path")).alias("agrees"))
+    """The open headings of every line, from windows alone."""
+    return blocks.section_paths(outline(spark, sf_dir)).select("document_id", "order", F.array_join("section_path", " > ").alias("section"))
 
 
 @query()
@@ -96,9 +163,11 @@ def chunk_plan(spark, sf_dir):
     return chunking.plan_chunks(parsed, chunking.Config(mode="force", max_chars=2200, overlap_blocks=2))
 
 
-@query()
+@query(f"""WITH {_OUTLINE_SQL}, c AS (SELECT *, CASE WHEN section = lag(section) OVER (PARTITION BY d ORDER BY n) THEN 0 ELSE 1 END AS new FROM s), r AS (SELECT *, sum(new) OVER (PARTITION BY d ORDER BY n) AS run FROM c)
+SELECT d AS document_id, run::BIGINT AS run, section, count(*) AS blocks, sum(length(x))::BIGINT AS chars FROM r GROUP BY d, run, section""")
 def section_runs(spark, sf_dir):
-    return chunking.section_runs(blocks.parse(table(spark, sf_dir, "pages"), "page_id", "html", "html"))
+    found = chunking.section_runs(blocks.section_paths(outline(spark, sf_dir)))
+    return found.select("document_id", "run", F.array_join("section_path", " > ").alias("section"), "blocks", "chars")
 
 
 # Quotes ----------------------------------------------------------------------------------------
@@ -175,13 +244,13 @@ def cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sources, own
 
 
-@query(f"""WITH {_BLOCKS_SQL}, f AS (SELECT document_id::VARCHAR || '-blk_0001-' AS k, text AS t, length(text) - length(ltrim(text)) AS a, length(rtrim(text)) AS e, contains(text, ' ') AS s FROM b WHERE "order" = 1)
+@query(f"""WITH {_BLOCKS_SQL}, f AS (SELECT document_id::VARCHAR || '-blk_' || CASE WHEN "order" < 10000 THEN lpad("order"::VARCHAR, 4, '0') ELSE "order"::VARCHAR END || '-' AS k, text AS t, length(text) - length(ltrim(text)) AS a, length(rtrim(text)) AS e, contains(text, ' ') AS s FROM b)
 SELECT k || 'as_is' AS source_key, 'UNIQUE_MATCH' AS status, 'exact' AS basis, 1.0::DOUBLE AS score, 0 AS start, length(t)::INTEGER AS "end" FROM f UNION ALL
 SELECT k || 'spaced', 'UNIQUE_MATCH', CASE WHEN s THEN 'normalized' ELSE 'exact' END, CASE WHEN s THEN 0.95 ELSE 1.0 END::DOUBLE, a::INTEGER, e::INTEGER FROM f""")
 def quote_normalized_ranges(spark, sf_dir):
-    """First lines, which the SQL reads, cited as they are and with other spaces: the ranges are those of the original."""
+    """All lines cited as they are and with other spaces: the ranges are those of the original."""
     sources, own = cited(spark, sf_dir)
-    found = quotes.match_registry(sources.where("kind <> 'changed' and block_id = 'blk_0001'"), own.where(F.col("order") == 1))
+    found = quotes.match_registry(sources.where("kind <> 'changed'"), own)
     return found.select("source_key", "status", "basis", "score", F.col("selected.start").alias("start"), F.col("selected.end").alias("end"))
 
 
@@ -219,6 +288,20 @@ def selection_ordinals(spark, sf_dir):
     return quoted(spark, sf_dir).select("item_id", "doc_id", F.row_number().over(w).cast("long").alias("occurrence"))
 
 
+@query("""WITH s AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_returnflag AS q, l_linestatus AS k FROM lineitem),
+b AS (SELECT *, CASE WHEN k = 'F' THEN 'src_' || q ELSE '{"kind":"row","document_id":"' || d || '","block_id":"b","quote":"' || q || '","row":1}' END AS best, '{"kind":"row","document_id":"' || d || '","block_id":"b","quote":"' || q || '","row":1}' AS lesser FROM s)
+SELECT a.d AS document_id, a.n AS line, a.best AS identity, count(e.n) AS occurrence FROM b a LEFT JOIN b e ON e.d = a.d AND e.n < a.n AND (e.best = a.best OR e.lesser = a.best) GROUP BY a.d, a.n, a.best""")
+def source_selections(spark, sf_dir):
+    """Lines of an order as sources, some with a key: the how-manieth of its identity each is."""
+    li = numbered_lines(spark, sf_dir)
+    none = F.lit(None).cast("array<string>")
+    source = F.struct(
+        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("src_"), "l_returnflag")).alias("source_key"), F.col("l_orderkey").cast("string").alias("document_id"), F.lit("b").alias("block_id"), F.col("l_returnflag").alias("quote"),
+        none.alias("canonical_cell_ids"), none.alias("cell_ids"), F.lit(1).alias("row_index"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
+    )
+    return export.selections(li.select(F.col("l_orderkey").alias("document_id"), "line", source.alias("source")), ["document_id"], "line")
+
+
 # Items -----------------------------------------------------------------------------------------
 
 
@@ -282,6 +365,34 @@ def items_coerced(spark, sf_dir):
     return kept.select("chunk_id", "statement", "type", F.col("source.quote").alias("quote"), "confidence", F.array_join("tags", ",").alias("tags"), "review_status", F.col("source.section").alias("section"))
 
 
+#: Fields of an item, the code that it gets, its confidence and what is logged of it.
+_TYPED = (
+    ('"statement": 0', "MODEL_ITEM_MISSING_FIELD", 0.0, None), ('"statement": []', "MODEL_ITEM_MISSING_FIELD", 0.0, None), ('"statement": 5', None, 0.0, None),
+    ('"statement": "s", "source_cell_ids": ["cell_00000001_r0001_c0001"], "source_table_row_index": "2"', "MODEL_ITEM_INVALID_TABLE_ROW_INDEX", 0.0, None),
+    ('"statement": "s", "source_cell_ids": ["cell_00000001_r0001_c0001"], "source_table_row_index": 2.0', "MODEL_ITEM_INVALID_TABLE_ROW_INDEX", 0.0, None),
+    ('"statement": "s", "source_cell_ids": ["cell_00000001_r0001_c0001"], "source_table_row_index": true', "MODEL_ITEM_INVALID_TABLE_ROW_INDEX", 0.0, None),
+    ('"statement": "s", "source_cell_ids": ["cell_00000001_r0001_c0001"], "source_table_row_index": 2', "MODEL_ITEM_NON_TABLE_WITH_CELL_IDS", 0.0, None),
+    ('"statement": "s", "source_cell_ids": [1]', "MODEL_ITEM_INVALID_CELL_IDS", 0.0, None), ('"statement": "s", "source_cell_ids": "cell_00000001_r0001_c0001"', "MODEL_ITEM_INVALID_CELL_IDS", 0.0, None),
+    ('"statement": "s", "title": 5', "MODEL_ITEM_SCHEMA_INVALID", 0.0, None), ('"statement": "s", "confidence": true', None, 1.0, None), ('"statement": "s", "confidence": null', None, 0.0, "0.0"),
+    ('"statement": "s", "confidence": "0.25"', None, 0.25, None), ('"statement": "s", "confidence": [1]', None, 0.0, "unknown"), ('"statement": "s", "confidence": 0.5, "tags": ["a", 1]', None, 0.5, None),
+)
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"({n}, {'NULL' if c is None else repr(c)}, {x}::DOUBLE, {'NULL' if g is None else repr(g)})" for n, (_, c, x, g) in enumerate(_TYPED))}) AS v(k, error_code, confidence, logged))
+SELECT event_id::VARCHAR AS chunk_id, error_code, confidence, logged, CASE WHEN k = 2 THEN '5' ELSE 's' END AS statement, CASE WHEN k = 14 THEN 'a,1' ELSE '' END AS tags FROM events JOIN t ON event_id % {len(_TYPED)} = k WHERE k > 1""")
+def items_typed(spark, sf_dir):
+    """Items whose JSON types decide: numbers in quotes, flags, lists and nulls are not what they look like."""
+    e = table(spark, sf_dir, "events")
+    picked = F.element_at(F.array(*[F.lit(t[0]) for t in _TYPED]), (F.col("event_id") % len(_TYPED) + 1).cast("int"))
+    payload = F.concat(F.lit('{"items": [{"source_block_id": "b", "source_quote": "q", '), picked, F.lit("}]}"))
+    found = items.explode_items(e.select(F.lit("d").alias("document_id"), F.col("event_id").cast("string").alias("chunk_id"), payload.alias("payload")))
+    known = spark.createDataFrame([("d", "b", "paragraph", ["A"], 1)], "document_id string, block_id string, type string, section_path array<string>, page int")
+    none = spark.createDataFrame([], "document_id string, chunk_id string, block_id string")
+    made = items.coerce_items(found, known, none, none.drop("chunk_id"))
+    logged = F.get(F.transform(F.filter("normalizations", lambda x: x["field"] == "confidence"), lambda x: x["normalized"]), F.lit(0))
+    return made.where(F.col("chunk_id").cast("long") % len(_TYPED) > 1).select("chunk_id", "error_code", "confidence", logged.alias("logged"), "statement", F.array_join("tags", ",").alias("tags"))
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'fenced' WHEN 2 THEN 'braced' END AS kind FROM events""")
 def response_parse(spark, sf_dir):
     k = F.col("event_id") % 4
@@ -351,6 +462,18 @@ def duplicate_groups(spark, sf_dir):
     return merge.duplicate_groups(rows).select("document_id", "reason", F.array_join("members", ",").alias("members"))
 
 
+@query("""WITH r AS (SELECT coalesce(lang, '') AS document_id, 'REQ-' || doc_id AS id, doc_id AS o, md5(text) AS s, source AS i FROM documents),
+k AS (SELECT document_id, 1 AS rank, s AS key, id, s, o FROM r UNION ALL SELECT document_id, 2, i, id, s, o FROM r WHERE i IS NOT NULL),
+g AS (SELECT document_id, rank, key, list_sort(list(DISTINCT id)) AS m, count(DISTINCT s) AS n, min(o) AS o FROM k GROUP BY ALL HAVING count(DISTINCT id) > 1 AND (rank = 1 OR count(DISTINCT s) > 1)),
+f AS (SELECT document_id, rank, m, min(o) AS o FROM g GROUP BY ALL), n AS (SELECT *, 'DUP-' || lpad((row_number() OVER (PARTITION BY document_id ORDER BY rank, o))::VARCHAR, 4, '0') AS group_id FROM f)
+SELECT document_id, group_id, CASE rank WHEN 1 THEN 'normalized_statement_equal' ELSE 'same_source_divergent_statement' END AS reason, unnest(m) AS id FROM n""")
+def duplicate_members(spark, sf_dir):
+    """Documents of a language as requirements of one document: every member of each numbered group."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.coalesce("lang", F.lit("")).alias("document_id"), F.concat(F.lit("REQ-"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("order"), F.md5(F.col("text").cast("binary")).alias("statement_key"), F.array_compact(F.array("source")).alias("source_identities"))
+    return merge.duplicate_members(rows)
+
+
 # Validation ------------------------------------------------------------------------------------
 
 
@@ -473,11 +596,7 @@ def threshold_gate(spark, sf_dir):
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems as sources: candidates are odd lines, gold even ones, of one supplier in a group."""
-    return edges_of(table(spark, sf_dir, "lineitem"))
-
-
-def edges_of(li: DataFrame) -> DataFrame:
-    rows = li.select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("group_id"), (F.col("l_partkey") % 20).cast("string").alias("block_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_quantity").cast("int").cast("string").alias("quote"), (F.col("l_linenumber") % 3).alias("source_index"), "l_linenumber",
     )
@@ -488,7 +607,7 @@ def edges_of(li: DataFrame) -> DataFrame:
 
 _EDGES_SQL = """
 r AS (SELECT l_suppkey::VARCHAR AS group_id, (l_partkey % 20)::VARCHAR AS block_id, l_orderkey || '-' || l_linenumber AS id, l_quantity::INTEGER::VARCHAR AS quote, l_linenumber % 3 AS si, l_linenumber
-  FROM lineitem WHERE l_orderkey % 4 = 0),
+  FROM lineitem),
 e AS (SELECT c.group_id, c.id AS candidate_id, g.id AS gold_id, max(CASE WHEN c.quote = g.quote THEN 20 ELSE 10 END + 9 - c.si) AS quality
   FROM r c JOIN r g ON c.group_id = g.group_id AND c.block_id = g.block_id AND (contains(c.quote, g.quote) OR contains(g.quote, c.quote))
   WHERE c.l_linenumber % 2 = 1 AND g.l_linenumber % 2 = 0 GROUP BY ALL)
@@ -497,15 +616,13 @@ e AS (SELECT c.group_id, c.id AS candidate_id, g.id AS gold_id, max(CASE WHEN c.
 
 @query(f"WITH {_EDGES_SQL} SELECT group_id, candidate_id, gold_id, quality FROM e")
 def match_edges(spark, sf_dir):
-    """Of the orders that the SQL reads; `edges` has all."""
-    return edges_of(table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")).select("group_id", "candidate_id", "gold_id", "quality")
+    return edges(spark, sf_dir).select("group_id", "candidate_id", "gold_id", "quality")
 
 
 @query(f"""WITH {_EDGES_SQL}, t AS (SELECT *, max(quality) OVER (PARTITION BY group_id, candidate_id) AS best FROM e)
 SELECT group_id, candidate_id, best AS quality, count(*) AS ties FROM t WHERE quality = best GROUP BY ALL HAVING count(*) > 1""")
 def edge_ties(spark, sf_dir):
-    """Of the orders that the SQL reads; `edges` has all."""
-    return evaluate.edge_ties(edges_of(table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")))
+    return evaluate.edge_ties(edges(spark, sf_dir))
 
 
 @query()
@@ -514,6 +631,23 @@ def match_assignment(spark, sf_dir):
     return evaluate.match_one_to_one(edges(spark, sf_dir))
 
 
+@query("""SELECT o_orderkey, n > 0 AS narrow, true AS every FROM (SELECT o_orderkey, count(CASE WHEN l_partkey % 20 IN (3, 7) THEN 1 END) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)""")
+def scope_filter(spark, sf_dir):
+    """Orders as items whose lines are their sources: which count in a scope of two blocks, and in one of all."""
+    held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set((F.col("l_partkey") % 20).cast("string")).alias("bs"))
+    narrow = evaluate.in_scope(F.col("bs"), F.array(F.lit("3"), F.lit("7")))
+    every = evaluate.in_scope(F.col("bs"), F.expr("cast(array() as array<string>)"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(held, "o_orderkey").select("o_orderkey", narrow.alias("narrow"), every.alias("every"))
+
+
+@query(f"""WITH {_PRF_SQL}, w AS (SELECT coalesce(source, '') AS s, 'f1' AS metric, f1 AS v FROM p UNION ALL SELECT coalesce(source, ''), 'recall', recall FROM p)
+SELECT s AS "case", bool_and(v >= 0.5) AS passed, '# ' || s || chr(10) || chr(10) || '| Metric | Value | Result |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || metric || ' | ' || printf('%.6f', v) || ' | ' || CASE WHEN v >= 0.5 THEN 'pass' ELSE 'fail' END || ' |', chr(10) ORDER BY metric) || chr(10) AS report FROM w GROUP BY s""")
+def case_reports(spark, sf_dir):
+    """The metrics of each source as a report."""
+    long = eval_prf(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("case"), "f1", "recall").unpivot(["case"], ["f1", "recall"], "metric", "value")
+    return evaluate.case_reports(long.withColumn("passed", F.col("value") >= 0.5))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
     x0, y0, w, h = (F.element_at("embedding", i).cast("double") for i in range(1, 5))
@@ -623,6 +757,9 @@ def range_overlaps(spark, sf_dir):
     return found.groupBy("l_orderkey").agg(F.count("*").alias("overlaps"), F.max(F.col("reach") - F.col("start")).alias("deepest"))
 
 
+_LINES_SQL = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem)"
+
+
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems with line, their place in the order; l_linenumber may repeat within one."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
@@ -694,16 +831,49 @@ def located_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return wanted, occ
 
 
-@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem), m AS (SELECT l_orderkey, line, max(line) OVER (PARTITION BY l_orderkey) AS n FROM l)
-SELECT l_orderkey || '-' || line AS source_key, CASE WHEN line = 2 AND n > 2 THEN 'CROSSES_TABLE_ROWS' END AS error, CASE WHEN line = 1 OR n = 2 THEN 1 END AS row_index, CASE WHEN line = 1 OR n = 2 THEN 'cell_' || line END AS cell_ids, CASE WHEN line = 1 OR n = 2 THEN 1 END AS page
-FROM m WHERE line < 3""")
+_LOCATED_SQL = """
+t AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, l_partkey::VARCHAR AS x FROM lineitem),
+p AS (SELECT *, sum(length(x) + 3) OVER (PARTITION BY d ORDER BY line) - length(x) - 3 AS s, sum(length(x) + 3) OVER (PARTITION BY d ORDER BY line) - 3 AS e FROM t),
+g AS (SELECT w.d, w.line, count(DISTINCT (c.line + 1) // 2) AS rows, min((c.line + 1) // 2) AS r, string_agg('cell_' || c.line, ',' ORDER BY c.line) AS cells
+  FROM p w JOIN p c ON c.d = w.d AND w.s < c.e AND c.s < w.e + 4 * (w.line - 1) GROUP BY w.d, w.line)
+"""
+
+
+@query(f"""WITH {_LOCATED_SQL} SELECT d || '-' || line AS source_key, CASE WHEN rows > 1 THEN 'CROSSES_TABLE_ROWS' END AS error, CASE WHEN rows = 1 THEN r::INTEGER END AS row_index, CASE WHEN rows = 1 THEN cells END AS cell_ids, CASE WHEN rows = 1 THEN 1 END AS page FROM g""")
 def table_row_locators(spark, sf_dir):
-    """Ranges in serialised rows, derived to the row and cells that they lie in; of lines 1 and 2, as in the SQL."""
+    """Ranges in serialised rows, derived to the row and cells that they lie in; the later the line, the further its range reaches."""
     wanted, occ = located_rows(spark, sf_dir)
-    found = evidence.table_rows(wanted.where("line in (1, 2)").drop("line"), occ)
+    found = evidence.table_rows(wanted.drop("line"), occ)
     return found.select("source_key", "error", "row_index", F.array_join("cell_ids", ",").alias("cell_ids"), "page")
 
 
+@query(f"""WITH {_LOCATED_SQL}, z AS (SELECT *, line % 3 AS k, (line + 1) // 2 AS own FROM g)
+SELECT d || '-' || line AS source_key, CASE k WHEN 0 THEN 'WARNING_AMBIGUOUS' WHEN 1 THEN 'PASS' ELSE 'FAIL_DERIVATION' END AS text_status, k = 1 AS has_text, k = 0 AS provisional,
+CASE WHEN k = 1 AND rows = 1 AND r = own AND cells = 'cell_' || line THEN 'cell_' || line END AS cells, CASE WHEN k = 1 THEN CASE WHEN rows = 1 AND r = own AND cells = 'cell_' || line THEN 'cells' ELSE 'block' END END AS page_basis,
+CASE WHEN k = 1 THEN 7 END AS page, CASE k WHEN 0 THEN 'WARNING_AMBIGUOUS' WHEN 1 THEN 'UNVERIFIED' ELSE 'FAIL_DERIVATION' END AS locator_status FROM z""")
+def enriched_sources(spark, sf_dir):
+    """Every line of an order as a source that cites its own cell, with what matches and evidence say of it."""
+    wanted, occ = located_rows(spark, sf_dir)
+    k = F.col("line") % 3
+    chosen = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    sources = wanted.select("source_key", "document_id", "block_id", F.ceil(F.col("line") / 2).cast("int").alias("row_index"), F.array(F.concat(F.lit("cell_"), F.col("line").cast("string"))).alias("canonical_cell_ids"))
+    matches = wanted.select("source_key", F.when(k == 1, "UNIQUE_MATCH").when(k == 0, "AMBIGUOUS_MATCH").otherwise("NO_MATCH").alias("status"), F.lit("exact").alias("basis"), F.when(k == 1, chosen).alias("selected"), F.when(k == 0, chosen).alias("provisional"), F.lit(1.0).alias("score"))
+    able = F.array(*[F.lit(c) for c in ("text_range", "table_cell", "page_region")])
+    place = geometry.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit("page"))
+    index = wanted.select("document_id", "block_id").distinct().select("*", F.lit(7).alias("page"), able.alias("expected"), able.alias("available"), place.alias("box"))
+    found = evidence.enrich_sources(sources, matches, index, evidence.table_rows(wanted.drop("line"), occ))
+    return found.select("source_key", "text_status", F.col("text_locator").isNotNull().alias("has_text"), F.col("provisional_text_locator").isNotNull().alias("provisional"), F.array_join("table_locator.cell_ids", ",").alias("cells"), F.col("page_locator.basis").alias("page_basis"), "page", "locator_status")
+
+
+@query(f"""WITH {_BLOCKS_SQL} SELECT document_id, count(*) AS blocks, sum(length(text))::BIGINT AS chars, min(sha256(text)) AS least_digest FROM b GROUP BY document_id""")
+def default_evidence(spark, sf_dir):
+    """The text-only evidence of all lines; it never contradicts the blocks that it is made of."""
+    rows = doc_blocks(spark, sf_dir).withColumn("page", F.lit(None).cast("int"))
+    index, problems = evidence.ensure_index(rows)
+    told = index.join(problems, ["document_id", "block_id"], "left_anti")
+    return told.groupBy("document_id").agg(F.count("*").alias("blocks"), F.sum("text_length").cast("long").alias("chars"), F.min("text_sha256").alias("least_digest"))
+
+
 def logical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as cells of a table with three columns; returned ones are empty."""
     li = numbered_lines(spark, sf_dir)
@@ -726,6 +896,39 @@ def canonical_cells(spark, sf_dir):
     return tables.canonical_selection(picked, c, t, held).select("source_key", "error", F.array_join("cell_ids", ",").alias("cell_ids"))
 
 
+_CANONICAL_SQL = """
+l AS (SELECT l_orderkey AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_returnflag = 'R' AS e FROM lineitem),
+c AS (SELECT t, count(*) AS k, max(CASE WHEN n = 1 THEN e::INTEGER END) AS e1, max(CASE WHEN n = 4 THEN e::INTEGER END) AS e4 FROM l GROUP BY t)
+"""
+
+
+@query(f"""WITH {_CANONICAL_SQL} SELECT t AS source_key, CASE WHEN t % 3 = 0 AND k < 4 THEN 'MODEL_ITEM_INVALID_CELL_IDS' WHEN t % 3 = 0 THEN 'MODEL_ITEM_INVALID_TABLE_ROW_INDEX'
+WHEN t % 3 = 1 AND e1 = 1 THEN 'MODEL_ITEM_INVALID_CELL_IDS' END AS error_code, CASE WHEN t % 3 = 1 AND e1 = 0 THEN t || '-1' WHEN t % 3 = 2 THEN '' END AS cell_ids FROM c""")
+def rejected_selections(spark, sf_dir):
+    """Candidates that cite a cell of another row, their own first cell, or none: prepared or rejected."""
+    c = logical_cells(spark, sf_dir)
+    t = c.groupBy("table_id").agg(F.max("row").alias("rows"), F.lit(False).alias("sparse"))
+    k = F.col("table_id") % 3
+    at = lambda n: F.array(F.concat(F.col("table_id").cast("string"), F.lit(f"-{n}")))
+    cited = F.when(k == 0, at(4)).when(k == 1, at(1)).otherwise(F.expr("cast(array() as array<string>)"))
+    picked = t.select(F.col("table_id").alias("source_key"), F.lit("b").alias("block_id"), "table_id", F.when(k < 2, 1).alias("row_index"), cited.alias("cell_ids"))
+    held = c.select(F.lit("b").alias("block_id"), "cell_id", F.col("row").alias("row_index"))
+    prepared, rejected = items.reject_unprepared(picked.select("source_key"), tables.canonical_selection(picked, c, t, held))
+    out = prepared.select("source_key", F.lit(None).cast("string").alias("error_code"), F.array_join("canonical_cell_ids", ",").alias("cell_ids"))
+    return out.unionByName(rejected.select("source_key", "error_code", F.lit(None).cast("string").alias("cell_ids")))
+
+
+@query(f"""WITH {_LINES_SQL}, c AS (SELECT l_orderkey AS t, line, (line - 1) // 3 + 1 AS r, (line - 1) % 3 + 1 AS c, CASE WHEN l_returnflag = 'R' THEN ' ' ELSE l_returnflag END AS x FROM l),
+r AS (SELECT t, r, 'row ' || r || ': ' || string_agg(t || '-' || line || '(row=' || r || ',column=' || c || ',row_span=1,column_span=1,text="' || x || '")', ' | ' ORDER BY c) AS x FROM c GROUP BY t, r)
+SELECT t AS document_id, '[b]' || chr(10) || 'type: table' || chr(10) || 'section_path: S > T' || chr(10) || 'table_id: ' || t || chr(10) || 'primary_rows: 1-' || max(r) || chr(10) || 'canonical_text: x' || chr(10) || 'cell_map:' || chr(10) || string_agg(x, chr(10) ORDER BY r) AS prompt_text FROM r GROUP BY t""")
+def cell_maps(spark, sf_dir):
+    """Each order's table as a prompt shows it."""
+    c = logical_cells(spark, sf_dir)
+    b = c.groupBy("table_id").agg(F.max("row").alias("last_row"))
+    b = b.select(F.col("table_id").alias("document_id"), F.lit("b").alias("block_id"), F.array(F.lit("S"), F.lit("T")).alias("section_path"), F.lit("x").alias("text"), "table_id", F.lit(1).alias("first_row"), "last_row")
+    return chunking.cell_maps(b, c).select("document_id", "prompt_text")
+
+
 @query("""WITH t AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS root,
  first_value(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rs FROM orders), p AS (SELECT *, n + (o_orderkey % 9 = 0)::INTEGER AS page FROM t), q AS (SELECT *, lag(page) OVER (PARTITION BY o_custkey ORDER BY n) AS pb,
  first_value(page) OVER (PARTITION BY o_custkey ORDER BY n) AS rp FROM p)
@@ -784,9 +987,6 @@ def capability_results(spark, sf_dir):
 # Layout ----------------------------------------------------------------------------------------
 
 
-_LINES_SQL = "l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem)"
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems as lines of a page: quantities make the gaps, taxes the font."""
     li = numbered_lines(spark, sf_dir)
@@ -840,7 +1040,9 @@ def continued_tables(spark, sf_dir):
     return layout.continued_tables(t)
 
 
-@query()
+@query(f"""WITH {_LINES_SQL}, b AS (SELECT l_orderkey AS d, line, floor(line / 2) * 20 AS y, CASE WHEN line = 1 THEN 0 WHEN l_quantity % 2 = 0 THEN 1 ELSE 2 END AS c FROM l),
+n AS (SELECT d, y, count(DISTINCT c) AS k FROM b WHERE line > 1 GROUP BY d, y), s AS (SELECT d, coalesce(max(k), 0) > 1 AS two FROM b LEFT JOIN n USING (d) GROUP BY d)
+SELECT d::VARCHAR AS document_id, 1 AS page, line::VARCHAR AS block_id, (row_number() OVER (PARTITION BY d ORDER BY CASE WHEN two THEN c ELSE 0 END, y, c, line))::INTEGER AS reading_order, CASE WHEN two AND c > 0 THEN c ELSE 1 END::INTEGER AS column_index FROM b JOIN s USING (d)""")
 def reading_order(spark, sf_dir):
     """Lines of an order as blocks of a page in up to two columns under a wide one."""
     li = numbered_lines(spark, sf_dir)
@@ -959,6 +1161,14 @@ def safe_warnings(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(agent.safe_warnings(F.array(raw, raw)), ";").alias("warnings"))
 
 
+@query("""SELECT event_id, '{"a":[{"c":1.5},[true,null]],"k":' || json_extract_string(props, '$.k') || '}' AS safe FROM events""")
+def nested_secrets_dropped(spark, sf_dir):
+    """Secrets go at any depth, however their keys are written; types stay."""
+    e = table(spark, sf_dir, "events")
+    dirty = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "X-Api-Key": "x", "a": [{"My-Password": 1, "c": 1.5}, [true, null]], "cookie": {"b": 2}}'))
+    return e.select("event_id", agent.canonical_body(dirty).alias("safe"))
+
+
 @query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS safe FROM events""")
 def secret_keys_dropped(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -1008,13 +1218,23 @@ def requirement_defaults(spark, sf_dir):
     return items.normalized_requirements(docs)
 
 
-@query("""SELECT event_id, sha256('{"adapter":"' || event_type || '","body":"{\\"k\\":\\"' || json_extract_string(props, '$.k') || '\\"}","endpoint":"e"}') AS fingerprint FROM events""")
+@query("""SELECT event_id, sha256('{"adapter":"' || event_type || '","body":"{\\"k\\":' || json_extract_string(props, '$.k') || '}","endpoint":"e"}') AS fingerprint FROM events""")
 def request_fingerprints(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     dirty = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "Authorization": "x"}'))
     return e.select("event_id", chunking.request_fingerprint(F.col("event_type"), F.lit("e"), dirty).alias("fingerprint"))
 
 
+@query("""SELECT event_id, sha256('{"adapter":"a","body":"{\\"a\\":{\\"c\\":[2,{\\"d\\":' || event_id || '}]},\\"k\\":\\"' || event_type || '\\",\\"z\\":null}","endpoint":"e"}') AS fingerprint, true AS same FROM events""")
+def request_digests(spark, sf_dir):
+    """Bodies with nested and hyphenated secrets, their keys in two orders: one digest, types kept."""
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    one = F.concat(F.lit('{"z": null, "k": "'), kind, F.lit('", "a": {"c": [2, {"X-Api-Key": 1, "d": '), n, F.lit('}], "My-Password": {"e": 1}}}'))
+    two = F.concat(F.lit('{"a": {"my_password": 2, "c": [2, {"d": '), n, F.lit(', "api-key": "y"}]}, "Cookie": "c", "k": "'), kind, F.lit('", "z": null}'))
+    made = [chunking.request_fingerprint(F.lit("a"), F.lit("e"), body) for body in (one, two)]
+    return table(spark, sf_dir, "events").select("event_id", made[0].alias("fingerprint"), (made[0] == made[1]).alias("same"))
+
+
 @query(f"WITH {_RANGES_SQL} SELECT doc_id, item_id FROM pairs WHERE item_id % 3 = 0")
 def source_key_mismatches(spark, sf_dir):
     none = F.expr("cast(array() as array<string>)")

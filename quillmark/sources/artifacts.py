@@ -58,3 +58,12 @@ def recorded_items(requests: DataFrame, recorded: DataFrame) -> DataFrame:
         .when(F.col("r.block_ids") != F.col("block_ids"), "RECORDED_BLOCK_IDS_MISMATCH")
     )
     return joined.withColumn("error_code", code).withColumn("payload", F.when(code.isNull(), F.col("payload"))).drop("r")
+
+
+def read_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all files named ``case.json`` under ``path``, each a JSON object, with their folder; a
+    file that is no such object has a null case_id and counts as broken."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="case.json")
+    case = F.from_json("value", schema)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/case[.]json$", "")
+    return files.select(folder.alias("folder"), case.alias("case")).select("folder", "case.*")
