@@ -21,6 +21,8 @@ LENGTHS = (2, 3, 4)
 #: Labelled rows that are fitted for each language, in all, and for each language whatever the sum;
 #: `fit` may be told other bounds. Every language is fitted, however many there are.
 ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 1000, 8000, 20
+#: Languages whose shares are broadcast; those of more are joined by language.
+MAX_BROADCAST_LANGUAGES = 100_000
 #: Times as many hashes pass the threshold, on average, as are wanted; fewer than wanted is as good
 #: as impossible, and would only make the sample smaller.
 OVERSAMPLED = 4
@@ -192,6 +194,8 @@ def fit(
     # Few hashes of each language pass a threshold from its count; they alone are ranked, so the
     # rows that meet in a task are about as many as are wanted, however many a language has.
     shares = labelled.sparkSession.createDataFrame([(r["l"], min(1.0, OVERSAMPLED * wanted / r["n"])) for r in sizes], "l string, share double")
+    # so that rows stay where they are; more languages than this hold no share of the rows worth a task
+    shares = F.broadcast(shares) if len(sizes) <= MAX_BROADCAST_LANGUAGES else shares
     passing = rows.select("l", "h").join(shares, "l").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share"))
     ranked = Window.partitionBy("l").orderBy("h")
     chosen = passing.select("l", "h").distinct().withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= wanted)
