@@ -51,6 +51,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bytes of rows that a Python worker gets at once.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -155,12 +155,13 @@ class WordSums:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers in two bytes each, or four where one needs them."""
-    return values.astype(np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+    """Whole numbers in one byte each, or two or four where one needs them."""
+    most = values.max(initial=0)
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
 def _unpacked(value: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(value, np.uint16 if len(value) == 2 * n else np.uint32)
+    return np.frombuffer(value, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(value) // n])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
