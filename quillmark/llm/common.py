@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
@@ -96,6 +98,17 @@ def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
     return rows
 
 
+def release_memory() -> None:
+    """Give back what this process no longer uses, as far as the C library can, so that a fit's peak
+    does not add to what the driver holds later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.llm.common import list_rows, small_batches, worker_cache
+from quillmark.llm.common import release_memory, small_batches, worker_cache
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -206,7 +206,8 @@ def fit(
     used, counts = ([_unpacked(v, k) for v, k in zip(table.column(c).to_pylist(), n)] for c in ("used", "counts"))
     del table
     model = train(labels, used, counts, epochs)
-    pa.default_memory_pool().release_unused()
+    del used, counts
+    release_memory()
     return model
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import list_rows, small_batches, worker_cache
+from quillmark.llm.common import list_rows, release_memory, small_batches, worker_cache
 
 #: Words are hashed into so many features; a feature is whether a text has it.
 FEATURES = 1 << 20
@@ -259,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     data = TrainingRows([rows[i] for i in order])
     grades = severity_grades(data, labelled)
     model = fit_ordinal(data, grades, max(3, int(grades.max(initial=0)) + 1))
-    del table, rows, data
-    pa.default_memory_pool().release_unused()
+    del table, rows, data, order
+    release_memory()
     return model
 
 
