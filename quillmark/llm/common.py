@@ -36,7 +36,11 @@ def stage_folder(spark: SparkSession) -> str:
 
 def drop_stage_tables(spark: SparkSession) -> bool:
     """Delete this application's stage tables, once no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    return delete(spark, stage_folder(spark))
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -47,10 +51,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     read more than once is computed once. The write commits by task, so a retried task leaves
     one copy of its rows.
     """
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A `stage_table` and its folder, for those that `delete` it when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def quoted(name: str) -> str:

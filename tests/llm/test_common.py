@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from quillmark.llm import common
+from quillmark.llm.components import connected_components
 from quillmark.shipping import ship
 
 
@@ -67,3 +68,26 @@ def test_batches_are_bounded_unless_smaller(spark):
             assert spark.conf.get(name).rstrip("b") in (str(want), held)
     finally:
         spark.conf.set(name, before)
+
+
+def test_components_of_hubs_chains_and_small_groups(spark):
+    rng = np.random.default_rng(5)
+    hub = [(7, 100 + i) for i in range(3000)]
+    chain = [(5000 + i, 5001 + i) for i in range(300)]
+    small = [(10_000 + 3 * i, 10_000 + 3 * i + int(k)) for i in range(7000) for k in rng.integers(0, 3, 2)]
+    edges = hub + chain + small + [(3, 5150), (3, 150), (9, 9)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 4)], "a long, b long")).collect()}
+    label: dict[int, int] = {}
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        todo = [start] if start not in label else []
+        while todo:
+            node = todo.pop()
+            if node not in label:
+                label[node] = start
+                todo += near[node]
+    assert found == label
