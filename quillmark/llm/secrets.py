@@ -5,6 +5,7 @@ Everything here is DataFrame functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,20 +43,39 @@ OWNED = Kind("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
 MAX_OWNERS = 2
 
 
+#: Matches that are folded at a time, and letters of a text that are redacted at a time.
+BLOCK, BLOCK_LETTERS = 64, 16_384
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of ``value``, which is evaluated once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(values: Column) -> Column:
+    """The array ``values`` in arrays of `BLOCK`, in order."""
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """Array of (start, rank, end, value's hash) of one kind; start and end in code points.
 
     The text between matches and the matches themselves alternate, so running sums of their
-    lengths are the positions.
+    lengths are the positions. An array that grows is copied at each step, so matches are folded
+    block by block, each from the sum of the blocks before it.
     """
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     empty = F.expr("cast(array() as array<struct<start: int, rank: int, end: int, value: string>>)")
+    pairs = F.zip_with(
+        F.split(text, kind.pattern, -1),
+        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)),
+        lambda g, m: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")),
+    )
+    steps = F.filter(pairs, lambda x: x["m"].isNotNull())  # what follows the last match has none
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
-        end = start + F.length(x["m"])
+        end = start + x["n"]
         value = F.regexp_extract(x["m"], kind.pattern, kind.group)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.sha2(value, 256).alias("value"))
         passes = F.length(value) >= kind.least
@@ -64,18 +84,38 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
                 passes &= value.rlike(part)
         return F.struct(end.alias("at"), F.when(passes, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def fold(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def starts(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["g"] + x["n"]))
+        return F.aggregate(widths, none, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    folded = _let(_let(steps, _blocks), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), fold)))
     return F.when(text.rlike(kind.pattern), folded).otherwise(empty)
 
 
+def _outside(owned: Column, base: Column) -> Column:
+    """The spans ``owned`` (by start) that overlap none of ``base``; a block of them looks only at
+    the base spans that reach into it."""
+
+    def near(block: Column) -> Column:
+        first, last = block[0]["start"], F.element_at(block, -1)["end"]
+        return F.struct(block.alias("own"), F.filter(base, lambda b: (b["start"] < last) & (first < b["end"])).alias("base"))
+
+    def kept(x: Column) -> Column:
+        return F.filter(x["own"], lambda o: ~F.exists(x["base"], lambda b: (o["start"] < b["end"]) & (b["start"] < o["end"])))
+
+    held = F.flatten(F.transform(F.transform(_blocks(owned), near), kept))
+    return F.when(F.size(owned) > 0, held).otherwise(owned)
+
+
 def found_spans(text: Column) -> Column:
     """All candidate spans of a text, by start and then kind; ``owned`` ones only outside base spans."""
     base = F.concat(*[_spans(text, kind, rank) for rank, kind in enumerate(BASE_KINDS)])
-    owned = F.filter(
-        _spans(text, OWNED, len(BASE_KINDS)),
-        lambda o: ~F.exists(base, lambda b: (o["start"] < b["end"]) & (b["start"] < o["end"])),
-    )
-    return F.array_sort(F.concat(base, owned))
+    both = F.struct(base.alias("base"), _spans(text, OWNED, len(BASE_KINDS)).alias("owned"))
+    return _let(both, lambda x: F.array_sort(F.concat(x["base"], _outside(x["owned"], x["base"]))))
 
 
 def scan(
@@ -143,16 +183,26 @@ def span_list(spans: Column, names: tuple[str, ...]) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every run of overlapping ``spans`` (by start) replaced by ``mark``."""
+    """``text`` with every run of overlapping ``spans`` (by start) replaced by ``mark``.
+
+    The text is taken in blocks, as finding a place in a text and adding to one take time in
+    proportion to its length. A run's mark is in the block where it starts.
+    """
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+    def step(acc: Column, s: Column, block: Column, first: Column) -> Column:
+        fresh = F.concat(acc["out"], F.substring(block, acc["at"] - first + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when((s["start"] >= acc["at"]), fresh).otherwise(acc["out"]).alias("out"),
         )
 
-    def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    def clean(block: Column, i: Column) -> Column:
+        first = i * BLOCK_LETTERS
+        # where the runs that start in earlier blocks end
+        at = F.aggregate(spans, first, lambda acc, s: F.when(s["start"] < first, F.greatest(acc, s["end"])).otherwise(acc))
+        own = F.filter(spans, lambda s: (s["start"] >= first) & (s["start"] < first + BLOCK_LETTERS))
+        rest = lambda acc: F.concat(acc["out"], F.substring(block, acc["at"] - first + 1, F.length(block)))
+        return F.aggregate(own, F.struct(at.alias("at"), F.lit("").alias("out")), lambda acc, s: step(acc, s, block, first), rest)
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_LETTERS}}}"), F.lit(0))
+    return F.array_join(F.transform(blocks, clean), "")

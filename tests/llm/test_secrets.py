@@ -66,3 +66,31 @@ def test_span_list_and_empty_table(spark):
     one = spark.createDataFrame([([(4, 1, 9)],)], "s array<struct<start: int, rank: int, end: int>>")
     text = one.select(sec.span_list(F.col("s"), ("a", "b")).alias("x")).first().x
     assert text == "b:4:9" and len(hashlib.sha256(text.encode()).hexdigest()) == 64
+
+
+def many_spans():
+    """Texts whose spans fill many blocks, with characters beyond the basic plane between them."""
+    live = "".join(f"é😀 token={'k' * (i % 9)}Q{i} {LIVE}{i} AKIA{i:016d} {i:030x}\n" for i in range(700))
+    return [(1, live, "a"), (2, "x" * 16_380 + " password=" + "s" * 40_000 + " end", "b"), (3, "secret=abcdef" * 64, "b"), (4, "é" * 16_384 + "token=abcdefgh", "b")]
+
+
+def test_many_spans_match_brute_force(spark):
+    rows = many_spans()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in sec.scan(docs, ["doc_id"]).collect()}
+    assert got == {r[0]: s for r, s in zip(rows, brute(rows))}
+    assert len(got[1]) > 20 * sec.BLOCK
+
+
+def test_redaction_over_blocks_matches_brute_force(spark):
+    rows = many_spans()
+    spans = [[s[:3] for s in found] for found in brute(rows)]
+    df = spark.createDataFrame([(r[0], r[1], s) for r, s in zip(rows, spans)], "i long, t string, s array<struct<start: int, rank: int, end: int>>")
+    got = {r.i: r.r for r in df.select("i", sec.redacted(F.col("t"), F.col("s"), "#").alias("r")).collect()}
+    for (i, text, _), found in zip(rows, spans):
+        out, at = [], 0
+        for start, _, end in found:
+            if start >= at:
+                out += [text[at:start], "#"]
+            at = max(at, end)
+        assert got[i] == "".join(out) + text[at:]
