@@ -11,6 +11,8 @@ import sys
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,64 +32,77 @@ LEAST_GROUPS, GROUP_ROWS = 64, 20_000
 class SumIndex:
     """Which single, pair and triple of available lengths has a given sum.
 
-    Counts only fall, so a sum that has no pair or triple never gets one again; a remembered
-    combination is looked up again once one of its lengths has run out.
+    ``counts`` only falls but for what is `held` for a while; what is held is left out of every
+    combination. A sum that has no pair or triple of all counts never gets one again, so that is
+    remembered; a combination is looked up again once one of its lengths has run out.
     """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.held: Counter[int] = Counter()
         self.pairs: dict[int, tuple[int, int] | None] = {}
         self.triples: dict[int, tuple[int, int, int] | None] = {}
 
+    def free(self, length: int) -> int:
+        return int(self.counts[length]) - self.held[length]
+
     def available(self, lengths: tuple[int, ...]) -> bool:
-        return all(self.counts[x] >= lengths.count(x) for x in lengths)
+        return all(self.free(x) >= lengths.count(x) for x in lengths)
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        found = self.pairs.get(total, ())
-        if found is None or (found and self.available(found)):
-            return found
+    @contextmanager
+    def holding(self, *lengths: int) -> Iterator[None]:
+        self.held.update(lengths)
+        try:
+            yield
+        finally:
+            self.held.subtract(lengths)
+
+    def _find_pair(self, counts: np.ndarray, total: int) -> tuple[int, int] | None:
         large = np.arange(total - 1, (total - 1) // 2, -1)
-        fits = (self.counts[large] > 0) & (self.counts[total - large] > 0)
-        if total % 2 == 0 and len(fits) and self.counts[total // 2] < 2:
+        fits = (counts[large] > 0) & (counts[total - large] > 0)
+        if total % 2 == 0 and len(fits) and counts[total // 2] < 2:
             fits[-1] = False
         at = np.flatnonzero(fits)
-        found = (int(large[at[0]]), int(total - large[at[0]])) if len(at) else None
-        self.pairs[total] = found
-        return found
+        return (int(large[at[0]]), int(total - large[at[0]])) if len(at) else None
 
-    def triple(self, total: int) -> tuple[int, int, int] | None:
-        found = self.triples.get(total, ())
+    def pair(self, total: int) -> tuple[int, int] | None:
+        found = self.pairs.get(total, ())
         if found is None or (found and self.available(found)):
             return found
-        found = None
-        for first in np.flatnonzero(self.counts[:total] > 0)[::-1].tolist():
-            if 3 * first < total:
-                break  # the largest of three is at least a third
-            rest = self.pair(total - first) if total - first > 1 else None
-            if rest and self.available((first, *rest)):
-                found = (first, *rest)
-                break
-        if found is None and not self._blocked(total):
-            self.triples[total] = None
-        elif found:
-            self.triples[total] = found
+        found = self.pairs[total] = self._find_pair(self.counts, total)
+        if found and not self.available(found):
+            left = self.counts.copy()
+            for length, n in self.held.items():
+                left[length] -= n
+            found = self._find_pair(left, total)
         return found
 
-    def _blocked(self, total: int) -> bool:
-        """Whether a triple may exist that `triple` passed over because a pair shares its length."""
+    def _find_triple(self, total: int) -> tuple[int, int, int] | None:
         for first in np.flatnonzero(self.counts[:total] > 0)[::-1].tolist():
             if 3 * first < total:
-                return False
-            rest = self.pairs.get(total - first)
-            if rest and first in rest:
-                return True
-        return False
+                return None  # the largest of three is at least a third
+            if total - first < 2 or self.pairs.get(total - first, ()) is None or self.free(first) < 1:
+                continue
+            with self.holding(first):
+                rest = self.pair(total - first)
+            if rest:
+                return first, *rest
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        found = self.triples.get(total, ())
+        if found is None or (found and self.available(found)):
+            return found
+        held, self.held = self.held, Counter()
+        found = self.triples[total] = self._find_triple(total)
+        self.held = held
+        return self._find_triple(total) if found and not self.available(found) else found
 
     def exact(self, total: int) -> tuple[int, ...] | None:
         """One, two or three available lengths with this sum."""
         if total < 1:
             return None
-        if self.counts[total] > 0:
+        if self.free(total) > 0:
             return (total,)
         return self.pair(total) or self.triple(total)
 
@@ -158,11 +173,10 @@ def _plan(histogram: dict[int, int], capacity: int, rounds: tuple[bool, ...]) ->
             while counts[longest] > 0:
                 lengths: tuple[int, ...] = (longest,)
                 gap = capacity - longest
-                counts[longest] -= 1
-                rest = index.exact(gap)
-                if rest is None and fill_rest:
-                    rest = _best_fit(index, gap)
-                counts[longest] += 1
+                with index.holding(longest):
+                    rest = index.exact(gap)
+                    if rest is None and fill_rest:
+                        rest = _best_fit(index, gap)
                 if rest is None:
                     break
                 lengths += rest
@@ -176,21 +190,16 @@ def _best_fit(index: SumIndex, gap: int) -> tuple[int, ...]:
     """The longest lengths that fit, one after another, or an exact combination as soon as one fits."""
     chosen: list[int] = []
     while gap > 0:
-        rest = index.exact(gap) if chosen else None
-        if rest:
-            chosen += rest
-            for x in rest:
-                index.counts[x] -= 1
-            break
-        fits = np.flatnonzero(index.counts[1 : gap + 1] > 0)
-        if not len(fits):
+        with index.holding(*chosen):
+            rest = index.exact(gap) if chosen else None
+            if rest:
+                return (*chosen, *rest)
+            fits = np.flatnonzero(index.counts[1 : gap + 1] > 0)[::-1] + 1
+            length = next((x for x in fits.tolist() if index.free(x) > 0), None)
+        if length is None:
             break
-        length = int(fits[-1]) + 1
         chosen.append(length)
-        index.counts[length] -= 1
         gap -= length
-    for x in chosen:
-        index.counts[x] += 1
     return tuple(chosen)
 
 

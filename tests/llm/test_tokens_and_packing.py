@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -85,6 +86,29 @@ def test_index_finds_sums_under_counts():
     assert index.exact(10) is None and index.exact(13) is None
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_index_misses_no_sum(seed):
+    """Singles, pairs and triples against all combinations, while counts fall and some lengths are held."""
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(40, np.int64)
+    for x in rng.integers(1, 30, 14):
+        counts[x] += 1
+    index = packing.SumIndex(counts)
+    while counts.sum() > 3:
+        for held in ([], [int(rng.choice(np.flatnonzero(counts)))]):
+            with index.holding(*held):
+                left = Counter({x: int(n) for x, n in enumerate(counts.tolist())})
+                left.subtract(held)
+                pieces = sorted(left.elements())
+                for total in range(1, 40):
+                    sums = [n for n in (1, 2, 3) if any(sum(c) == total for c in combinations(pieces, n))]
+                    found = index.exact(total)
+                    assert (found is not None) == bool(sums)
+                    if found:
+                        assert sum(found) == total and len(found) == sums[0] and all(left[x] >= found.count(x) for x in found)
+        counts[rng.choice(np.flatnonzero(counts))] -= 1
+
+
 def test_pack_documents(spark):
     tokenizer = Tokenizer.from_file(WORD)
     rows = [(i if i != 3 else None, t, 9) for i, t in enumerate([*TEXTS[:80], "long text " * 4000])]
