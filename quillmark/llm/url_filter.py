@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A rule set of at most this many bytes is sent to every executor as a trie; a larger one is joined.
 MAX_BROADCAST_BYTES = 8 << 20
+#: Pages of one host are dealt over so many groups where rules are joined.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,7 @@ def judge_urls(
 
     ``rules`` is a collection of `Rule` or a frame (host, path, verdict). A frame's size is
     measured first: up to ``max_broadcast_bytes`` its trie goes to every executor, beyond it the
-    rules are joined by host suffix and whole leading segments. A null URL, or one without
+    rules are joined by host suffix and leading path. A null URL, or one without
     ``://``, has an empty host and path and so no rule. Repeated rules count once.
     """
     parts = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
@@ -135,32 +137,33 @@ def _judge_by_trie(parts: DataFrame, rules: list[Rule], default: str) -> DataFra
 
 
 def _judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rule sets of any size: each distinct (host, path) meets the rules of its host suffixes
-    whose path up to the last ``/`` leads its own."""
-    key = {"rule_host": F.col("host"), "lead": F.regexp_extract("path", r"^(.*/)?", 0)}
-    keyed = rules.select(*[c.alias(n) for n, c in key.items()], F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
+    """For rule sets of any size: each distinct (host, path) meets, for each suffix of its host that has
+    rules, those that equal its path's start of each length that the suffix's rules have.
+
+    Both joins are by equality with a table of one row a key, so a page meets a rule only if it fits.
+    Pages of one host, however many, are dealt over `SALTS` groups; rules are repeated in each.
+    """
+    salted = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    block = F.max(F.col("verdict") == "block").alias("block")
+    rule = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(block)
+    lengths = rule.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pages = parts.select("host", "path").distinct()
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(F.split("host", r"\."))),
-        lambda i: F.array_join(F.slice(F.split("host", r"\."), i, F.size(F.split("host", r"\."))), "."),
+    probes = (
+        pages.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+        .withColumn("rule_host", F.explode(suffixes))
+        .join(lengths.select("*", salted), ["rule_host", "salt"])
+        .withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+        .withColumn("rule_path", F.substr("path", F.lit(1), F.col("n")))
     )
-    leads = F.transform(
-        F.sequence(F.lit(1), F.size(F.split("path", "/"))),
-        lambda i: F.when(i == 1, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), i - 1), "/"), F.lit("/"))),
-    )
-    probes = pages.withColumn("rule_host", F.explode(suffixes)).withColumn("lead", F.explode(leads))
     weight = F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("n"),
         F.length("rule_host").alias("h"),
-        (F.col("rule_verdict") == "block").alias("b"),
+        "block",
         F.concat("rule_host", "rule_path").alias("rule"),
-        F.col("rule_verdict").alias("verdict"),
-    )
-    best = (
-        probes.join(keyed, ["rule_host", "lead"])
-        .where(F.startswith("path", "rule_path"))
-        .groupBy("host", "path")
-        .agg(F.max(weight).alias("best"))
     )
+    best = probes.join(rule.select("*", salted), ["rule_host", "rule_path", "salt"]).groupBy("host", "path").agg(F.max(weight).alias("best"))
     out = parts.drop("rule", "verdict").join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    verdict = F.when(F.col("best.block"), F.lit("block")).when(~F.col("best.block"), F.lit("allow")).otherwise(F.lit(default))
+    return out.withColumns({"rule": F.col("best.rule"), "verdict": verdict}).drop("best")

@@ -45,5 +45,17 @@ def test_trie_and_join_agree(spark):
         assert (got[i].rule, got[i].verdict) == ((rule.text, rule.verdict) if rule else (None, "allow"))
 
 
+def test_join_matches_brute_force(spark):
+    rng = random.Random(5)
+    hosts, paths = ["org", "a.org", "b.a.org", "com", "a.com"], ["", "/", "/x", "/x/", "/x/y", "/xy/1", "/x//y", "/é"]
+    rules = [Rule(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(30)]
+    urls = ["http://" + ".".join(rng.choice(["a", "b", "org", "com", ""]) for _ in range(rng.randint(1, 4))) + rng.choice(paths) + rng.choice(["", "/", "y", "1/2"]) for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(1000 + i, "http://a.com/x/y") for i in range(500)] + [(2000, None)], "page_id long, url string")
+    frame = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    for r in judge_urls(pages, frame, max_broadcast_bytes=1).collect():
+        rule = brute(rules, r.host, r.path)
+        assert (r.rule, r.verdict) == ((rule.text, rule.verdict) if rule else (None, "allow"))
+
+
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
