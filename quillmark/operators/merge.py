@@ -80,16 +80,17 @@ def duplicate_members(requirements: DataFrame, document: str = "document_id", or
     ``requirements``: document, id, order, statement_key, source_identities. Groups are numbered
     ``DUP-0001`` on within their document: those of equal statements first, then those of a source,
     each in the order of their first members. Groups with the same members and reason are one. Members
-    are rows, not arrays, so a group may have any size.
+    are rows, not arrays, so a group may have any size. A null id or statement is none of the two that a group
+    needs; numbers have four digits at least.
     """
     statements = requirements.select(document, F.lit(1).alias("rank"), F.struct(F.col("statement_key").alias("a")).cast("string").alias("key"), "id", "statement_key", F.struct(F.col(order).alias("o"), F.lit(0).alias("i")).alias("at"))
     sources = requirements.select(document, F.lit(2).alias("rank"), "id", "statement_key", order, F.posexplode("source_identities").alias("i", "key"))
     sources = sources.select(document, "rank", F.col("key").cast("string").alias("key"), "id", "statement_key", F.struct(F.col(order).alias("o"), "i").alias("at"))
     rows = statements.unionByName(sources)
     ids = rows.groupBy(document, "rank", "key", "id").agg(F.min("at").alias("at"))
-    told = rows.groupBy(document, "rank", "key", "statement_key").agg(F.lit(1).alias("one")).groupBy(document, "rank", "key").agg(F.count("*").alias("statements"))
+    told = rows.groupBy(document, "rank", "key", "statement_key").agg(F.lit(1).alias("one")).groupBy(document, "rank", "key").agg(F.count("statement_key").alias("statements"))
     same = [F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("y")]
-    groups = ids.groupBy(document, "rank", "key").agg(F.count("*").alias("n"), F.min("at").alias("at"), *same).join(told, [document, "rank", "key"])
+    groups = ids.groupBy(document, "rank", "key").agg(F.count("id").alias("n"), F.min("at").alias("at"), *same).join(told, [document, "rank", "key"])
     groups = groups.where("n > 1 and (rank = 1 or statements > 1)")
     first = groups.groupBy(document, "rank", "n", "x", "y").agg(F.min(F.struct("at", "key")).alias("f"))
     number = F.row_number().over(Window.partitionBy(document).orderBy("rank", "f"))

@@ -21,3 +21,20 @@ def test_prices_between_two_whole_numbers(spark, tmp_path):
     rows = [(4 * i + 1, 6 * i, "O", p) for i, p in enumerate(prices)] + [(101, 5, None, 2000.5), (103, None, "F", 2000.5)]
     got, want = both(spark, tmp_path, "tool_rules", "orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", rows)
     assert got == want and dict(got)[9] is None
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_null_statements_and_ids_make_no_duplicates(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 1), (2, None, "en", "s", 1), (3, "b", "de", "s", 1), (None, "b", "de", "t", 1), (4, "c", "de", "t", 1), (5, "d", "fr", "s", 1), (6, "d", "fr", "t", 1), (None, "d", "fr", "u", 1)]
+    got, want = both(spark, tmp_path, "duplicate_members", "documents", DOCS, rows)
+    assert got == want and {r[0] for r in got} == {"fr"} and len(got) == 3
+
+
+def test_more_than_9999_groups_keep_their_numbers(spark, tmp_path):
+    rows = [(2 * i + k, f"t{i}", "en", None, 1) for i in range(10_001) for k in (0, 1)]
+    got, want = both(spark, tmp_path, "duplicate_members", "documents", DOCS, rows)
+    assert len({r[1] for r in got}) == 10_001 and {r[3] for r in got if r[1] == "DUP-10001"} == {"REQ-20000", "REQ-20001"}
+    # the SQL pads by lpad, which also cuts; but for that they are the same
+    assert sorted((d, g[:8], *r) for d, g, *r in got) == sorted(want)
