@@ -16,6 +16,8 @@ from quillmark.llm.queries import language_model, table
 
 #: A document goes if it is toxic with at least this probability.
 TOXIC = 0.5
+#: Documents are near duplicates if their fingerprints differ in so many bits at most.
+SIMHASH_BITS = 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,14 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the document with the smallest doc_id.
+    """Of each group of near duplicates the document with the smallest doc_id.
 
+    Documents are linked by SimHash as in op5 (three-word shingles, 3 bits or fewer, through its tables
+    of pivot distances), and those that are further apart by five-word shingles of Jaccard 0.8 or more.
     Texts without a word, null ones too, are one group. Of repeated rows one stays; a document without
     an id stays only if its group has none with one.
     """
-    return near_copies.one_of_each_group(docs)
+    return near_copies.one_of_each_group(docs, radius=SIMHASH_BITS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

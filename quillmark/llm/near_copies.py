@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of shingle sets: MinHash bands propose, exact sets decide."""
+"""Near copies by the Jaccard similarity of shingle sets: MinHash bands propose, exact sets decide; and by SimHash."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import list_rows, quoted, small_batches, stage_table, unused_name, utf8_rows, worker_cache
+from quillmark.llm import simhash
+from quillmark.llm.common import delete, list_rows, quoted, small_batches, stage_table, unused_name, utf8_rows, worker_cache, written
 from quillmark.llm.components import connected_components
 
 WIDTH = 5
@@ -130,10 +131,11 @@ def near_copy_links(rows: DataFrame, nodes: DataFrame, width: int, cell_rows: in
     share a band are candidates; what they connect is a group. A set goes once to its group, or,
     where the group has more than ``cell_rows``, to each pair of chunks that has its own.
     """
-    keyed = stage_table(nodes.select(F.explode("keys").alias("key"), "node"), "bands")
+    keyed, path = written(nodes.select(F.explode("keys").alias("key"), "node"), "bands")
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     proposed = keyed.join(stage_table(shared, "shared-bands"), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
     groups = stage_table(connected_components(proposed.where("a <> b").distinct()).withColumnRenamed("component", "group"), "candidates")
+    delete(nodes.sparkSession, path)
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(cell_rows)).cast("int").alias("chunks"))
     members = nodes.join(groups.join(sizes, "group"), "node")
     held = stage_table(rows.join(members, "__row").select("group", "chunks", "node", "keys", _set_bytes("__text", width).alias("shingles")), "sets")
@@ -145,27 +147,47 @@ def near_copy_links(rows: DataFrame, nodes: DataFrame, width: int, cell_rows: in
     return cells.groupBy("group", "i", "j").applyInArrow(_verified, "a long, b long")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def fingerprint_edges(prints: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect the sets whose texts have SimHash fingerprints linked within ``radius`` bits.
+
+    ``prints``: node and fp, both 64-bit hashes. The linked fingerprints are nodes between the sets;
+    those that hold one set and no link have no edges.
+    """
+    pairs = stage_table(prints.distinct(), "set-prints")
+    held = stage_table(pairs.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    links = stage_table(simhash.fingerprint_links(held, radius), "print-links")
+    told = links.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(held.where("n > 1").select("fp")).distinct()
+    return pairs.join(told, "fp", "left_semi").select(F.col("node").alias("a"), F.col("fp").alias("b")).unionByName(links)
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id.
 
     Texts whose sets of ``width``-word shingles have a Jaccard similarity of at least 0.8 are linked;
-    texts without a word are copies of each other. A row without an id stays only if no row of its
+    texts without a word are copies of each other. With a ``radius``, texts whose fingerprints (`simhash`)
+    differ in so many bits at most are linked too, whatever their sets. A row without an id stays only if no row of its
     component has one; of repeated rows one stays. Null, empty and blank texts have no word, texts of
     any length are compared whole, and an empty table gives no rows. All columns are returned as they
     are, whatever their names.
     """
-    row, sketched = unused_name(docs, "__row"), unused_name(docs, "__sketch")
-    rows = stage_table(docs.withColumns({row: F.monotonically_increasing_id(), sketched: _sketch(quoted(text_col), width)}), "rows")
+    row, sketched, printed = (unused_name(docs, c) for c in ("__row", "__sketch", "__print"))
+    made = {row: F.monotonically_increasing_id(), sketched: _sketch(quoted(text_col), width)}
+    if radius is not None:
+        made[printed] = simhash.fingerprint(quoted(text_col))
+    rows = stage_table(docs.withColumns(made), "rows")
     held = rows.select(F.col(row).alias("__row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("__text"), F.col(sketched).alias("sketch"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")
     one = F.min_by(F.struct("__row", F.col("sketch.keys").alias("keys")), "__row").alias("one")
     by_set = stage_table(held.groupBy(F.col("sketch.node").alias("node")).agg(first, one), "first-of-set")
     nodes = by_set.select("node", "one.__row", "one.keys")
-    labels = connected_components(near_copy_links(held.select("__row", "__text"), nodes, width))
+    links = near_copy_links(held.select("__row", "__text"), nodes, width)
+    if radius is not None:
+        links = links.unionByName(fingerprint_edges(rows.select(F.col(sketched)["node"].alias("node"), F.col(printed).alias("fp")), radius))
+    labels = connected_components(links)
     kept = (
         by_set.join(labels, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("component"))
         .agg(F.min("first").alias("first"))
         .select(F.col("first.__row").alias(row))
     )
-    return rows.join(kept, row, "left_semi").drop(row, sketched)
+    return rows.join(kept, row, "left_semi").drop(*made)
